@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, tokenizer_path
 
 #: White space as the Unicode property has it, in place of a library's own reading of \s.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LONG = 256
 BUCKETS = 1 << 16
 BLOCK_BYTES = 6_000_000

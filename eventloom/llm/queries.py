@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op6_byte_bpe
 from .media import op9_media_columns
 from .packing import op5_cost_balanced_packing
+from .quality_rules import op1_quality_rules
+from .secrets import op7_markov_secret_scan
 
-QUERIES = {f.__name__: f for f in (op5_cost_balanced_packing, op6_byte_bpe, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_cost_balanced_packing, op6_byte_bpe, op7_markov_secret_scan, op9_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
