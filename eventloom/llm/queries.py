@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_bpe
+from .line_dedup import op3_fuzzy_line_dedup
 from .media import op9_media_columns
+from .near_dups import op2_bagminhash_near_dups
 from .packing import op5_cost_balanced_packing
 from .quality_rules import op1_quality_rules
 from .secrets import op7_markov_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_cost_balanced_packing, op6_byte_bpe, op7_markov_secret_scan, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bagminhash_near_dups, op3_fuzzy_line_dedup, op5_cost_balanced_packing, op6_byte_bpe, op7_markov_secret_scan, op9_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
