@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,58 +25,78 @@ from .common import table, tokenizer_path
 
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad]")
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad\xb2\xb3\xb9\xbc-\xbe]")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer file, each distinct word being encoded once per task.
+    """Ids of texts by a tokenizer file, each distinct word being encoded once.
 
     Texts of plain Latin-1 are lower-cased and split as the file's own rules do; any other text goes through the
-    tokenizer as a whole.
+    tokenizer as a whole.  New words are encoded many at a time: only a word's last id ends a word, so that the ids of
+    words that stand in one string can be told apart.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.known: dict[str, list[int]] = {}
+        self.merger = Tokenizer.from_file(path)  # for words that are normalised and split already
+        self.merger.encode_special_tokens = True
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(self.merger.model, "_resize_cache"):
+            self.merger.model._resize_cache(0)  # new words only: its cache would never be hit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.most_words = most_words
 
+    def learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+            else:
+                for w in part:
+                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split: list[list[str] | None] = []
         for t in texts:
             try:
                 t.encode("latin-1")
-                split.append(None if _ODD.search(t) else self.find(t.lower()))
+                split.append(None if _ODD.search(t) else _PIECES.findall(t.lower()))
             except UnicodeEncodeError:
                 split.append(None)
-        new = list({w for ws in split if ws for w in ws if w not in self.known})
+        seen = set().union(*(ws for ws in split if ws))
+        new = seen - self.known.keys()
         if len(self.known) + len(new) > self.most_words:  # a bound on memory; what is forgotten is encoded again
             self.known.clear()
-            new = list({w for ws in split if ws for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        out, known = [], self.known
+            new = seen
+        self.learn(list(new))
+        out, known = [], self.known.__getitem__
+        end = np.array([END_ID], "<u4").tobytes()
         for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                ids = list(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            else:
-                ids = []
-                for w in ws:
-                    ids += known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, "<u4"))
+            raw = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(known, ws))
+            out.append(np.frombuffer(raw + end, "<u4"))
         return out
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
+
+
 def pack(docs: list[tuple[int, np.ndarray]], capacity: int, alpha: float, beta: float) -> list[tuple[int, int, int, int, int, float]]:
     """Pieces (index of the document, start, length, sequence, offset, sequence's cost)."""
     cost_of = lambda n: alpha * n + beta * n * n
@@ -127,7 +148,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         base = TaskContext.get().partitionId() << 33
         held: list[tuple[int, np.ndarray]] = []
         tokens = 0
