@@ -13,7 +13,6 @@ may have any name.  An empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,8 +24,17 @@ from .common import table, tokenizer_path
 
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad\xb2\xb3\xb9\xbc-\xbe]")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: What plain texts don't have: anything but printable Latin-1 and common white space.
+_ODD = r"[^\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{ff}]"
+#: The tokenizer file's own split of a lower-cased text, but for white space.
+_PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+
+
+def gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists flat[offsets[i]:offsets[i + 1]] for i in at, one after the other, with their offsets."""
+    sizes = (offsets[1:] - offsets[:-1])[at]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(offsets[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
@@ -69,25 +77,42 @@ class WordEncoder:
                 for w in part:
                     self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-                split.append(None if _ODD.search(t) else _PIECES.findall(t.lower()))
-            except UnicodeEncodeError:
-                split.append(None)
-        seen = set().union(*(ws for ws in split if ws))
-        new = seen - self.known.keys()
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of distinct words."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most_words:  # a bound on memory; what is forgotten is encoded again
             self.known.clear()
-            new = seen
-        self.learn(list(new))
-        out, known = [], self.known.__getitem__
-        end = np.array([END_ID], "<u4").tobytes()
-        for t, ws in zip(texts, split, strict=True):
-            raw = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(known, ws))
-            out.append(np.frombuffer(raw + end, "<u4"))
+            new = words
+        self.learn(new)
+        raw = list(map(self.known.__getitem__, words))
+        return np.frombuffer(b"".join(raw), "<u4"), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
+
+    def chunks(self, chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of an Arrow array of distinct strings without white space."""
+        import pyarrow.compute as pc
+
+        pieces = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.replace_substring_regex(chunks, _PIECE, r"\1 ")))
+        coded = pieces.flatten().dictionary_encode()
+        flat, ends = gather(*self.words(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        return flat, ends[pieces.offsets.to_numpy()]
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """Ids, with the end's, of an Arrow array of strings without nulls."""
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, _ODD)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        coded = split.flatten().dictionary_encode()
+        flat, ends = gather(*self.chunks(coded.dictionary), coded.indices.to_numpy())
+        stops = iter(ends[split.offsets.to_numpy()].tolist())
+        start, end, out = next(stops), np.array([END_ID], "<u4"), []
+        for i, is_odd in enumerate(odd.to_pylist()):
+            if is_odd:
+                ids = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            else:
+                stop = next(stops)
+                ids, start = flat[start:stop], stop
+            out.append(np.concatenate([ids, end]))
         return out
 
 
@@ -146,6 +171,7 @@ def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder = word_encoder(path)
@@ -171,8 +197,8 @@ def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
-                for doc, got in zip(ids[i : i + 256], encoder.encode([x or "" for x in texts[i : i + 256].to_pylist()]), strict=True):
+            for i in range(0, len(ids), 2048):
+                for doc, got in zip(ids[i : i + 2048], encoder.encode(pc.fill_null(texts[i : i + 2048], "")), strict=True):
                     held.append((doc, got))
                     tokens += len(got)
                     if len(held) >= group_docs or tokens >= group_tokens:
