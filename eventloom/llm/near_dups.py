@@ -6,7 +6,7 @@ Poisson processes over dyadic blocks of its discretised weight, points of a bloc
 block is cut by the weight, and each signature component keeps the earliest point that falls to it.  Signatures are
 banded; pairs of a band are verified by the exact weighted Jaccard similarity of their multisets.
 
-Cases: a null text, and one without words, is a class by itself.  Words are compared in lower case.  Texts of any length
+Cases: a null text is a class by itself; all texts without words are copies of each other.  Words are compared in lower case.  Texts of any length
 are whole.  Rows that repeat a doc_id fall in one row of the result.  Rows with a null doc_id are left out.  Only the id
 and text columns are read, so others may have any name.  An empty table gives an empty table.
 """
@@ -162,9 +162,10 @@ def verifier(distinct: DataFrame, least: float, size: int):
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY, components: int = COMPONENTS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of each class of copies and near copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    split = docs.select("doc_id", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    split = split.select("doc_id", "hs", F.xxhash64("hs").alias("h1"), F.xxhash64(F.lit("second"), "hs").alias("h2"))
-    ids = staged(split.select("doc_id", F.when(F.size("hs") > 0, F.col("h1")).alias("h1"), F.when(F.size("hs") > 0, F.col("h2")).alias("h2")))
+    split = docs.select("doc_id", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)).alias("hs"), F.col("text").isNotNull().alias("has"))
+    has = F.col("has")
+    split = split.select("doc_id", "hs", F.when(has, F.xxhash64("hs")).alias("h1"), F.when(has, F.xxhash64(F.lit("second"), "hs")).alias("h2"))
+    ids = staged(split.select("doc_id", "h1", "h2"))
     copies = ids.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     copies = staged(copies)
     first = ids.join(copies, ["h1", "h2"]).where("doc_id = node").select("node").distinct()
