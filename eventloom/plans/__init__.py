@@ -1 +1 @@
-
+"""Registered queries and the staged pipeline."""

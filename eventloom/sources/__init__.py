@@ -1 +1 @@
-
+"""Readers, writers and file utilities."""
