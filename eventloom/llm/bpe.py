@@ -1,16 +1,17 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
-Encoding: a first pass over Arrow batches splits texts into pieces by the tokenizer's pattern and gathers each block's
-distinct pieces.  Spark higher-order functions then fold the ranked merges over the byte arrays of the distinct pieces,
-looking ranks up in a literal map, and a last pass replaces each piece by its ids.  A block's texts and pieces travel
-in one row, so nothing is shuffled and a block's size bounds memory.  Decoding: higher-order functions turn ids into
-binary pieces by a literal array and concatenate them.
+A first pass over Arrow batches splits texts into pieces by the tokenizer's pattern and numbers each block's distinct
+pieces.  Spark higher-order functions then fold the ranked merges over the byte arrays of the distinct pieces, looking
+pairs up in a literal map, and turn ids back into binary pieces by a literal array.  A last pass puts the pieces' ids and
+bytes in their places.  A block travels as one row, so nothing is shuffled and the block's size bounds memory.
 
-Bytes are held as strings of the characters U+0000 to U+00FF, one per byte, because Spark splits and joins strings.
-The rank map is a literal array of small maps, one per hash bucket, as a lookup in one large map would scan it.
+In a fold, a token is the character whose code is its rank plus one, so that a piece is a string, a merge puts one
+character in the place of two, and the least character of the possible merges is the one of the lowest rank.  Before
+that, bytes are the characters U+0000 to U+00FF.  The literal map is an array of small maps, one per hash bucket, as a
+look-up in one large map would scan it.
 
 Cases: a null or empty text has no ids and decodes to no bytes.  Pieces of over LONG bytes are folded by a heap in the
-last pass, since a fold over a large array is quadratic; their ids are the same.  Texts of any length are whole.
+last pass, since a fold over a long string is quadratic; their ids are the same.  Texts of any length are whole.
 Repeated rows are encoded each by itself.  Only the id and text columns are read, so others may have any name.  An empty
 table gives an empty table.
 """
@@ -21,20 +22,24 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, tokenizer_path
 
-#: White space as the Unicode property has it, in place of a library's own reading of \s.
-WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: White space as the Unicode property has it, in place of a library's own reading of \\s.
+_WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_SPACES = "".join(rf"\x{{{c:x}}}" for c in _WHITE)
+WHITE = "".join(map(chr, _WHITE))
+MARK = "\x1e"
 LONG = 256
 BUCKETS = 1 << 16
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 16_000_000
 
 
 @cache
@@ -44,61 +49,69 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def splitter(pattern: str):
+def splitter(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
     return regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: the map at a byte string's bucket holds its rank."""
+def token(rank: int) -> str:
+    return chr(rank + 1)
+
+
+def hashed(entries: dict[str, object], kind: str) -> Column:
+    """A literal array of maps: an entry stands in the map at its key's bucket."""
     buckets: list[dict | None] = [None] * BUCKETS
-    for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
+    for key, value in entries.items():
         k = xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS
-        buckets[k] = (buckets[k] or {}) | {key: rank}
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        buckets[k] = (buckets[k] or {}) | {key: value}
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
 
 
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """array<string>: the byte string of each id."""
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+def look_up(literal: Column, key: Column) -> Column:
+    """Null without an entry.  BUCKETS is a power of two."""
+    return F.get(literal, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int"))[key]
+
+
+def merge_map(ranks: dict[bytes, int]) -> Column:
+    """The token that a pair of tokens makes, for each pair whose bytes together are a token."""
+    pairs = {}
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                pairs[token(a) + token(b)] = token(rank)
+    return hashed(pairs, "string")
 
 
-def rank_of(table_: Column, piece: Column) -> Column:
-    """Null for what is no token.  The bucket is the unsigned hash modulo BUCKETS, a power of two."""
-    return F.get(table_, F.xxhash64(piece).bitwiseAND(BUCKETS - 1).cast("int"))[piece]
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, whatever the number of references to it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-def fold_merges(word: Column, table_: Column) -> Column:
-    """Ids of one piece, given as a byte string: the adjacent pair of the lowest rank is joined until none has a rank."""
-    none = F.lit(2**31 - 1)
-    pair = lambda a, b: F.coalesce(rank_of(table_, F.concat(a, b)), none)
-    letters = F.split(word, "")
-    ranks = F.transform(F.slice(letters, 1, F.size(letters) - 1), lambda x, i: pair(x, F.get(letters, i + 1)))
-    start = F.struct(letters.alias("p"), ranks.alias("r"))
+def fold_merges(piece: Column, single: str, merges: Column, whole: Column) -> Column:
+    """Ids of a piece, given as a string of bytes: the adjacent pair of the lowest rank is merged until none has a rank.
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        low = F.array_min(r)
-        at = F.array_position(r, low).cast("int")  # 1 for the first pair
-        joined = F.concat(F.get(p, at - 1), F.get(p, at))
-        n = F.size(p)
-        parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, n))
-        new = F.concat(
-            F.when(at > 2, F.slice(r, F.lit(1), at - 2)).otherwise(F.slice(r, 1, 0)),
-            F.when(at > 1, F.array(pair(F.get(p, at - 2), joined))).otherwise(F.slice(r, 1, 0)),
-            F.when(at < n - 1, F.array(pair(joined, F.get(p, at + 1)))).otherwise(F.slice(r, 1, 0)),
-            F.slice(r, at + 2, n),
-        )
-        return F.when((F.size(r) == 0) | (low == none), acc).otherwise(F.struct(parts.alias("p"), new.alias("r")))
+    single holds the tokens of the bytes 0 to 255, and whole the pieces that are tokens themselves.
+    """
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(letters) - 1, F.lit(1))), start, step, lambda acc: acc["p"])
-    whole = rank_of(table_, word)
-    return F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.transform(folded, lambda x: rank_of(table_, x)))
+    def step(tokens: Column, _: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: F.substring(tokens, i, F.lit(2)))
+        made = F.transform(pairs, lambda p: look_up(merges, p))
+        merged = bind(made, lambda m: F.coalesce(F.overlay(tokens, F.array_min(m), F.array_position(m, F.array_min(m)).cast("int"), F.lit(2)), tokens))
+        return F.when(F.length(tokens) < 2, tokens).otherwise(merged)
+
+    start = F.translate(piece, "".join(map(chr, range(256))), single)
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), start, step)
+    return bind(look_up(whole, piece), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.transform(F.split(folded, ""), lambda c: F.ascii(c) - 1)))
+
+
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """A literal array: the bytes of each id, as a string of bytes."""
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
 
 def join_pieces(ids: Column, pieces: Column) -> Column:
@@ -108,23 +121,24 @@ def join_pieces(ids: Column, pieces: Column) -> Column:
 
 def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges by a heap over linked parts, for pieces of any length."""
+    if piece in ranks:
+        return [ranks[piece]]
     n = len(piece)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != stop:
+        _, i, middle, stop = heapq.heappop(heap)
+        if not alive[i] or end[i] != middle or middle >= n or end[middle] != stop:
             continue
-        j = end[i]
-        alive[j] = False
+        alive[middle] = False
         end[i] = stop
         if stop < n:
             before[stop] = i
             if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
+                heapq.heappush(heap, (r, i, stop, end[stop]))
         if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-            heapq.heappush(heap, (r, h, stop))
+            heapq.heappush(heap, (r, h, i, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -132,105 +146,116 @@ def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, str]:
-    """Blocks of documents with the ids and the decoded bytes of each distinct piece, and what they were made with."""
-    import public_tokenizers
+def number_pieces(texts, find: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of an Arrow array of strings, the pieces' numbers text by text, and the texts' offsets in them.
 
-    path, pattern = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    ranks = read_ranks(path)
-    blocks = blocks_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), pattern, block_bytes)
-    table_, pieces = rank_literal(ranks), piece_literal(ranks)
-    coded = F.transform("pieces", lambda w: fold_merges(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), table_))
-    blocks = blocks.withColumn("ids", coded).withColumn("bytes", F.transform("ids", lambda x: join_pieces(x, pieces)))
-    return blocks, path, pattern
+    Texts are cut before each run of other characters and the one white space character ahead of it.  No piece of the
+    pattern spans such a cut, so the pattern is applied to the distinct parts alone.  Texts that hold the mark
+    themselves are split by the pattern as they are.
+    """
+    import pyarrow.compute as pc
+
+    from .packing import gather
+
+    marked = pc.match_substring(texts, MARK)
+    parts = pc.split_pattern(pc.replace_substring_regex(pc.if_else(marked, "", texts), f"([{_SPACES}]?[^{_SPACES}]+)", MARK + r"\1"), MARK)
+    coded = parts.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    flat, ends = [], [0]
+    for part in coded.dictionary.to_pylist():
+        flat += [number.setdefault(w, len(number)) for w in find(part)]
+        ends.append(len(flat))
+    at, offsets = gather(np.array(flat, np.int32), np.array(ends), coded.indices.to_numpy())
+    offsets = offsets[parts.offsets.to_numpy()]
+    if pc.any(marked).as_py():
+        lists = np.split(at, offsets[1:-1])
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)):
+            lists[i] = np.array([number.setdefault(w, len(number)) for w in find(texts[int(i)].as_py())], np.int32)
+        at, offsets = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return list(number), at, offsets
 
 
 def blocks_of(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Rows of some documents each, with their distinct pieces of at most LONG bytes."""
+    """Rows of some documents each: ids, distinct pieces, and each document's pieces by number.
+
+    Pieces of over LONG bytes are set apart in long_pieces; in pieces an empty string stands for each.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         find = splitter(pattern)
-        names = ["doc_ids", "texts", "pieces"]
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
-
-        def row(ids, texts, found):
-            short = [w for w in found if len(w) <= LONG and len(w.encode()) <= LONG]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((ids, texts, short), kinds, strict=True)], names=names)
-
         for batch in batches:
-            ids, texts, found, size = [], [], set(), 0
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc)
-                texts.append(t or "")
-                found.update(find(t or ""))
-                size += len(t or "")
-                if size >= block_bytes:
-                    yield row(ids, texts, found)
-                    ids, texts, found, size = [], [], set(), 0
-            if ids:
-                yield row(ids, texts, found)
-
-    return docs.mapInArrow(run, "doc_ids array<long>, texts array<string>, pieces array<string>")
-
-
-def per_document(coded: tuple[DataFrame, str, str], make_row, schema: str) -> DataFrame:
-    """A row per document by make_row(doc_id, list of id lists, list of decoded pieces)."""
-    blocks, path, pattern = coded
+            texts = pc.fill_null(batch.column(1), "")
+            grown = np.cumsum(pc.binary_length(texts).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(grown // block_bytes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                pieces, at, offsets = number_pieces(texts[lo:hi], find)
+                is_long = [len(w) > LONG // 4 and len(w.encode()) > LONG for w in pieces]
+                long = pa.array([w for w, x in zip(pieces, is_long, strict=True) if x], pa.string())
+                short = pa.array(["" if x else w for w, x in zip(pieces, is_long, strict=True)], pa.string())
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                use = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))
+                yield pa.RecordBatch.from_arrays([one(batch.column(0)[lo:hi]), one(short), one(long), one(use)], names=["doc_ids", "pieces", "long_pieces", "use"])
+
+    return docs.mapInArrow(run, "doc_ids array<long>, pieces array<string>, long_pieces array<string>, use array<array<int>>")
+
+
+def encode(docs: DataFrame, make_row: Callable, schema: str, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """make_row(doc_id, list of numbers of pieces, ids by piece, decoded bytes by piece, ids spelled by piece) for every document."""
+    import public_tokenizers
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    path, pattern = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    ranks = read_ranks(path)
+    blocks = blocks_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), pattern, block_bytes)
+    single = "".join(token(ranks[bytes([b])]) for b in range(256))
+    merges, whole, pieces = merge_map(ranks), hashed({p.decode("latin-1"): r for p, r in ranks.items()}, "int"), piece_literal(ranks)
+    blocks = blocks.withColumn("ids", F.transform("pieces", lambda w: fold_merges(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), single, merges, whole)))
+    blocks = blocks.select("doc_ids", "pieces", "long_pieces", "use", "ids", F.transform("ids", lambda x: join_pieces(x, pieces)).alias("bytes"))
+    blocks = blocks.select("doc_ids", F.transform("pieces", lambda w: w == "").alias("is_long"), "long_pieces", "use", "ids", "bytes")
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        find, ranks = splitter(pattern), None
         for batch in batches:
             for block in range(batch.num_rows):
-                doc_ids, texts, pieces, ids, raw = (c[block].values for c in batch.columns)
-                offsets, flat = ids.offsets.to_numpy(), ids.flatten().to_pylist()
-                first = offsets[0]
-                known = {w: (flat[a - first : b - first], r) for w, a, b, r in zip(pieces.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), raw.to_pylist(), strict=True)}
-                rows = []
-                for doc, t in zip(doc_ids.to_pylist(), texts.to_pylist(), strict=True):
-                    got = []
-                    for w in find(t):
-                        if (x := known.get(w)) is None:
-                            ranks = ranks or read_ranks(path)
-                            x = (one := fold_long(w.encode(), ranks), b"".join(join_ids(one, path)))
-                        got.append(x)
-                    rows.append(make_row(doc, got))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
-
-    return blocks.select("doc_ids", "texts", "pieces", "ids", "bytes").mapInArrow(run, schema)
+                doc_ids, is_long, long, use, ids, raw = (c[block].values for c in batch.columns)
+                ids, raw = ids.to_pylist(), raw.to_pylist()
+                for i, w in zip(np.flatnonzero(is_long.to_numpy(zero_copy_only=False)), long.to_pylist(), strict=True):
+                    found = read_ranks(path)
+                    ids[i] = fold_long(w.encode(), found)
+                    by_id = tokens_by_id(path)
+                    raw[i] = b"".join([by_id[x] for x in ids[i]])
+                spelled = [" ".join(map(str, x)) for x in ids]
+                flat, offsets = use.flatten().to_numpy(), use.offsets.to_numpy() - use.offsets[0].as_py()
+                rows = [make_row(doc, flat[a:b].tolist(), ids, raw, spelled) for doc, a, b in zip(doc_ids.to_pylist(), offsets, offsets[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+
+    return blocks.mapInArrow(run, schema)
 
 
 @cache
-def pieces_by_id(path: str) -> dict[int, bytes]:
+def tokens_by_id(path: str) -> dict[int, bytes]:
     return {v: k for k, v in read_ranks(path).items()}
 
 
-def join_ids(ids: list[int], path: str) -> Iterator[bytes]:
-    by_id = pieces_by_id(path)
-    return (by_id[i] for i in ids)
-
-
-def ids_row(doc, got):
-    return doc, [i for ids, _ in got for i in ids]
+def _ids_row(doc, at, ids, raw, spelled):
+    return doc, [x for i in at for x in ids[i]]
 
 
-def digest_row(doc, got):
-    n = sum(len(ids) for ids, _ in got)
-    spelled = " ".join([" ".join(map(str, ids)) for ids, _ in got])
-    return doc, n, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(b"".join([r for _, r in got])).hexdigest()
+def _digest_row(doc, at, ids, raw, spelled):
+    n = sum(map(len, map(ids.__getitem__, at)))
+    text = " ".join(map(spelled.__getitem__, at))
+    return doc, n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, at))).hexdigest()
 
 
 def encode_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, ids): the ids of every whole text."""
-    return per_document(encode(docs, **options), ids_row, "doc_id long, ids array<int>")
+    return encode(docs, _ids_row, "doc_id long, ids array<int>", **options)
 
 
 def decode_documents(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -240,4 +265,4 @@ def decode_documents(coded: DataFrame, vocabulary: str | None = None) -> DataFra
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_document(encode(table(spark, sf_dir, "documents")), digest_row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(table(spark, sf_dir, "documents"), _digest_row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -91,3 +91,25 @@ def components(edges: DataFrame) -> DataFrame:
         label = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return label
+
+
+def maybe_in(keys: DataFrame, column: str, bits: int = 22) -> Callable[[Column], Column]:
+    """A test that holds for every value of the long column of keys, and for few others: a bitmap of hash buckets.
+
+    The bitmap has 2**bits bits whatever the number of keys, so it may go to every task; with many more keys than bits
+    it lets all rows pass.  It only spares rows a shuffle: an exact join follows.
+    """
+    import json
+
+    bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    found = keys.select(bucket(F.col(column)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("v"))
+    words = [0] * (1 << (bits - 6))
+    for r in found.collect():
+        words[r["word"]] = r["v"]
+    literal = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+    def test(c: Column) -> Column:
+        b = bucket(c)
+        return F.call_function("shiftrightunsigned", F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test

@@ -1,4 +1,4 @@
-"""Candidate pairs within groups that share a key, without all pairs of a group."""
+"""Classes of nodes that share keys and pass a test, without all pairs of a key's nodes."""
 
 from __future__ import annotations
 
@@ -7,54 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, maybe_in, staged
 
+#: Keys of so many nodes or fewer give all their pairs; larger ones give stars first.
+FEW = 6
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (key, node) of keyed whose key has several nodes; keys are counted before anything is joined."""
-    several = staged(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"))
-    return keyed.join(several, "key", "left_semi")
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (key, node, n) of keyed whose key has n > 1 nodes.  Keys are counted first, without their nodes."""
+    several = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return keyed.where(maybe_in(several, "key")(F.col("key"))).join(several, "key")
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b): each key's centre a with every other member b.
 
-    The centre is the member whose keys are the most widely shared (ties: the smallest node), as the original of a group
-    of edited copies is; so most members agree with it, and a group of m gives m - 1 pairs.
-    """
-    sized = shared.groupBy("key").agg(F.count("*").alias("n"))
-    weight = shared.join(sized, "key").groupBy("node").agg(F.sum("n").alias("w"))
-    weighed = shared.join(weight, "node")
-    centre = weighed.groupBy("key").agg(F.max_by(F.col("node"), F.struct("w", F.bitwise_not("node").alias("less"))).alias("a"))
-    return shared.select("key", F.col("node").alias("b")).join(centre, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def rest_pairs(shared: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-    """(a, b): members that the stars left outside their group's main component, with the members of other components.
+def first_pairs(shared: DataFrame, few: int = FEW) -> DataFrame:
+    """(a, b), a < b: all pairs of small keys, and each large key's centre with its other nodes.
 
-    label has (node, label).  Per key, the main component is that of most members.  Members of it need no pairs among
-    themselves; every other member b is paired with all members a of other components that share the key.
+    The centre is the node whose keys are the most widely shared (ties: the smallest node), as the original of a group
+    of edited copies is; so most nodes agree with it, and a key of m nodes gives m - 1 pairs.
     """
-    known = shared.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    small = shared.where(F.col("n") <= few).select("key", "node")
+    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+    large = shared.where(F.col("n") > few)
+    weight = large.groupBy("node").agg(F.sum("n").alias("w"))
+    centre = large.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", F.bitwise_not("node").alias("less"))).alias("a"))
+    stars = large.select("key", F.col("node").alias("b")).join(centre, "key").where("a <> b").select("a", "b")
+    return ordered(pairs.union(stars))
+
+
+def mixed_nodes(shared: DataFrame, label: DataFrame, few: int = FEW) -> DataFrame:
+    """(key, node, label, odd) of large keys whose nodes are in several components; odd: not in the key's main one."""
+    large = shared.where(F.col("n") > few).select("key", "node")
+    known = large.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    mixed = staged(known.join(main, "key"))
-    odd = mixed.where("label <> main").select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = mixed.select("key", F.col("node").alias("a"), F.col("label").alias("la")).join(odd, "key").where("la <> lb")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return known.join(main, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("odd"))
 
 
-def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, label) of all nodes with a link: components under verify, which keeps the true pairs of (a, b).
+def linked(keyed: DataFrame, prepare: Callable, rest: Callable) -> DataFrame:
+    """(node, label) of all nodes with a link, from (key, node): nodes that share a key and pass a test are linked.
 
-    Stars come first.  Pairs across the components that they leave within a key are then verified too, so no component
-    is split that any shared key could join.
+    prepare(nodes) returns the test, a function that keeps the true pairs of (a, b); nodes (column node) are all that
+    share a key.  rest(mixed, test) returns the true pairs between odd nodes and others that the stars left apart.
     """
     shared = staged(shared_keys(keyed))
-    tried = staged(star_pairs(shared))
-    first = staged(verify(tried))
+    test = prepare(staged(shared.select("node").distinct()))
+    first = staged(test(staged(first_pairs(shared))))
     label = components(first)
-    more = staged(verify(rest_pairs(shared, label, tried)))
-    if more.isEmpty():
-        return label
-    return components(first.union(more))
+    mixed = staged(mixed_nodes(shared, label))
+    more = staged(rest(mixed, test))
+    return label if more.isEmpty() else components(first.union(more))

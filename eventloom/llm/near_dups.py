@@ -16,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, words
+from .common import maybe_in, staged, table, words
 from .groups import linked
 
 SHINGLE = 5
@@ -41,9 +41,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of the runs of size words, in order; one of all words where there are fewer."""
     h = hashes.view(np.uint64)
-    n = max(len(h) - size + 1, 1)
-    out = np.full(n, len(h) if len(h) < size else size, np.uint64)
-    for k in range(min(size, len(h))):
+    if len(h) >= size:
+        return windows(h, size)
+    out = np.full(1, len(h), np.uint64)
+    for x in h:
+        out = mix(out * _GOLD + x)
+    return out
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
         out = mix(out * _GOLD + h[k : k + n])
     return out
 
@@ -52,53 +61,85 @@ def multiset(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return np.unique(shingles(hashes, size), return_counts=True)
 
 
-def bag_minhash(elements: np.ndarray, weights: np.ndarray, m: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Times and marks of the earliest points of m components; two bags agree in a component with probability J_w.
-
-    Weights are positive integers.  The weight axis (0, 2**k] is cut into the blocks (0, 1], (1, 2], (2, 4], (4, 8] ...;
-    a block of width v is a process of rate v for each component, so of rate v * m in all.  A point takes a component and,
-    in a block that reaches past the weight, a level that is found by halving the block; points above the weight are
-    dropped.  Equal elements see equal points up to the smaller weight, whatever the bag.
+def multisets(flat: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, weight) of many documents' word hashes, sorted by document and shingle."""
+    length = np.diff(offsets)
+    flat = flat[offsets[0] : offsets[-1]].view(np.uint64)
+    start = offsets[:-1] - offsets[0]
+    doc, value = [], []
+    if len(flat) >= size:
+        all_ = windows(flat, size)
+        n = np.maximum(length - size + 1, 0)
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        doc.append(np.repeat(np.arange(len(length)), n))
+        value.append(all_[at])
+    short = np.flatnonzero(length < size)
+    doc.append(short)
+    value.append(np.array([shingles(flat[start[i] : start[i] + length[i]], size)[0] for i in short], np.uint64))
+    doc, value = np.concatenate(doc), np.concatenate(value)
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]))
+    return doc[new], value[new], np.diff(np.concatenate([new, [len(doc)]]))
+
+
+def bag_minhash(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_docs: int, m: int = COMPONENTS) -> np.ndarray:
+    """Signatures (n_docs, m) of many bags at once: the marks of the earliest points of m components.
+
+    Two bags agree in a component with the probability of their weighted Jaccard similarity.  Weights are positive
+    integers.  The weight axis is cut into the blocks (0, 1], (1, 2], (2, 4], (4, 8] ...; a block of width v is a Poisson
+    process of rate v for each component, so of rate v * m in all.  A point takes a component and, in a block that reaches
+    past the weight, a level that is found by halving the block; points above the weight are dropped.  Equal elements see
+    equal points up to the smaller weight, whatever the bag.  A process ends when its time has passed all of its bag's
+    minima, so that few points are made.
     """
-    times, marks = np.full(m, np.inf), np.zeros(m, np.uint64)
-    if not len(elements):
-        return times, marks
-    parts_e, parts_w, parts_lo, parts_hi = [], [], [], []
-    lo, hi = 0, 1
-    while True:
-        some = weights > lo
-        if not some.any():
-            break
-        parts_e.append(elements[some])
-        parts_w.append(weights[some])
-        parts_lo.append(np.full(some.sum(), lo))
-        parts_hi.append(np.full(some.sum(), hi))
+    times, marks = np.full(n_docs * m, np.inf), np.zeros(n_docs * m, np.uint64)
+    parts, lo, hi = [], 0, 1
+    while (some := weights > lo).any():
+        k = int(some.sum())
+        parts.append((doc[some], elements[some], weights[some], np.full(k, lo), np.full(k, hi)))
         lo, hi = hi, hi * 2
-    e, w, low, high = (np.concatenate(x) for x in (parts_e, parts_w, parts_lo, parts_hi))
+    if not parts:
+        return marks.reshape(n_docs, m)
+    d, e, w, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    total = np.bincount(doc, weights, n_docs)
     seed = mix(e + _GOLD * (high.astype(np.uint64) + np.uint64(1)))
     rate = (high - low).astype(np.float64) * m
-    now, k = np.zeros(len(seed)), 0
-    total = float(weights.sum())
-    at_once = max(1, min(int(np.ceil(4.0 * m / total)), 4 * m))  # points of each process in a round
+    at_once = np.clip(np.ceil(2.0 * m / np.maximum(total, 1)), 1, 4 * m).astype(np.int64)[d]  # points of each process in a round
+    now, done = np.zeros(len(seed)), np.zeros(len(seed), np.int64)
     while len(seed):
-        draws = mix(seed[:, None] + _GOLD * np.arange(k + 1, k + at_once + 1, dtype=np.uint64)[None, :])
-        k += at_once
-        gaps = -np.log(((draws >> _S11).astype(np.float64) + 0.5) / 9007199254740992.0) / rate[:, None]
-        at = now[:, None] + np.cumsum(gaps, axis=1)
-        marked = mix(draws + _GOLD)
-        comp = (marked % np.uint64(m)).astype(np.int64)
-        good = np.ones(at.shape, bool)
-        for i in np.flatnonzero(high > w):  # the block is cut by the weight: halve it down to the point's level
-            levels = (mix(marked[i] + _GOLD) % np.uint64(high[i] - low[i])).astype(np.int64)
-            good[i] = low[i] + levels < w[i]
-        good &= at < times[comp]
-        t, c, x = at[good], comp[good], marked[good]
-        order = np.lexsort((x, t))[::-1]  # the earliest is written last
-        times[c[order]], marks[c[order]] = t[order], x[order]
-        now = at[:, -1]
-        going = now < times.max()
-        seed, rate, now, w, low, high = seed[going], rate[going], now[going], w[going], low[going], high[going]
-    return times, marks
+        ends = np.cumsum(at_once)
+        own = np.repeat(np.arange(len(seed)), at_once)
+        k = np.arange(ends[-1]) - (ends - at_once)[own] + done[own] + 1
+        draw = mix(seed[own] + _GOLD * k.astype(np.uint64))
+        gap = -np.log(((draw >> _S11).astype(np.float64) + 0.5) / 9007199254740992.0) / rate[own]
+        at = _segment_sums(gap, ends - at_once, now, at_once)
+        last = at[ends - 1]
+        mark = mix(draw + _GOLD)
+        good = np.ones(len(at), bool)
+        if (cut := np.flatnonzero((high > w)[own])).size:  # the block is cut by the weight: which level is the point's?
+            c = own[cut]
+            level = (mix(mark[cut] + _GOLD) % (high - low)[c].astype(np.uint64)).astype(np.int64)
+            good[cut] = low[c] + level < w[c]
+        cell = d[own] * m + (mark % np.uint64(m)).astype(np.int64)
+        good &= at < times[cell]
+        at, cell, mark = at[good], cell[good], mark[good]
+        order = np.lexsort((mark, at))[::-1]  # the earliest is written last
+        times[cell[order]], marks[cell[order]] = at[order], mark[order]
+        going = last < times.reshape(n_docs, m).max(axis=1)[d]
+        done = (done + at_once)[going]
+        seed, rate, now, at_once, d, w, low, high = seed[going], rate[going], last[going], at_once[going], d[going], w[going], low[going], high[going]
+    return marks.reshape(n_docs, m)
+
+
+def _segment_sums(gap: np.ndarray, start: np.ndarray, now: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Running sums of each process's gaps from its time on, with the same rounding whatever stands beside it."""
+    out = np.empty_like(gap)
+    for n in np.unique(count):
+        which = np.flatnonzero(count == n)
+        at = start[which][:, None] + np.arange(n)[None, :]
+        out[at] = np.cumsum(np.concatenate([now[which][:, None], gap[at]], axis=1), axis=1)[:, 1:]
+    return out
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -107,72 +148,112 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def signatures(df: DataFrame, components: int, bands: int, size: int) -> DataFrame:
-    """(node, key) for each band, from (node, hs array<long>)."""
+def with_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, hs array<long>): hashes of the lower-case words; null for null texts."""
+    split = F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
+    return docs.select("doc_id", F.when(F.col("text").isNotNull(), split).alias("hs"))
+
+
+def signatures(df: DataFrame, components: int, bands: int, size: int, at_once: int = 128) -> DataFrame:
+    """(doc_id, h1, h2, n, keys array<long>): a key per band, from (doc_id, h1, h2, hs)."""
     rows = components // bands
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            nodes, keys = [], []
-            ids, hs = batch.column(0).to_numpy(), batch.column(1)
-            flat, offsets = hs.values.to_numpy(), hs.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                _, marks = bag_minhash(*multiset(flat[offsets[i] : offsets[i + 1]], size), components)
-                key = np.arange(1, bands + 1, dtype=np.uint64)
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                hs = part.column(3)
+                offsets = hs.offsets.to_numpy().astype(np.int64)
+                marks = bag_minhash(*multisets(hs.values.to_numpy(), offsets, size), part.num_rows, components)
+                key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (part.num_rows, 1))
                 for r in range(rows):
-                    key = mix(key * _GOLD + marks[r * bands : (r + 1) * bands])
-                keys.append(key.view(np.int64))
-                nodes.append(np.full(bands, ids[i]))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], names=["node", "key"])
+                    key = mix(key * _GOLD + marks[:, r * bands : (r + 1) * bands])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(offsets)), lists], names=["doc_id", "h1", "h2", "n", "keys"])
 
-    return df.select("node", "hs").mapInArrow(run, "node long, key long")
+    return df.select("doc_id", "h1", "h2", "hs").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
 
 
-def verifier(distinct: DataFrame, least: float, size: int):
-    """Keeps the pairs (a, b) whose multisets are similar enough; distinct has (node, hs)."""
+def tester(docs: DataFrame, least: float, size: int, buckets: int = 1 << 20):
+    """prepare and rest for groups.linked."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good, known = [], (None, None)
+            a = batch.column(0).to_pylist()
             x, y = batch.column(2), batch.column(3)
-            known: dict[int, tuple] = {}
-            good = []
             for i in range(batch.num_rows):
-                if a[i] not in known:
-                    known = {a[i]: multiset(x[i].values.to_numpy(), size)}
-                good.append(weighted_jaccard(known[a[i]], multiset(y[i].values.to_numpy(), size)) >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        hs = staged(distinct.join(wanted, "node", "left_semi"))
-        both = pairs.join(hs.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(hs.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
-        n = F.greatest(F.size("ha"), F.size("hb")) + 1 - size, F.least(F.size("ha"), F.size("hb")) + 1 - size
-        both = both.where(F.greatest(n[1], F.lit(1)) >= (least - 1e-9) * F.greatest(n[0], F.lit(1)))  # else the sizes alone rule it out
-        return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-    return verify
+                if a[i] != known[0]:
+                    known = a[i], multiset(x[i].values.to_numpy(), size)
+                good.append(weighted_jaccard(known[1], multiset(y[i].values.to_numpy(), size)) >= least - 1e-12)
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    def prepare(nodes: DataFrame):
+        # texts of the nodes alone are shuffled, and hashed once for all tests
+        some = docs.where(maybe_in(nodes, "node")(F.col("doc_id"))).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        hs = staged(with_words(some.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("node"), "hs"))
+
+        def test(pairs: DataFrame) -> DataFrame:
+            n = F.greatest(F.size("hs") - (size - 1), F.lit(1))
+            side = lambda x: hs.select(F.col("node").alias(x), F.col("hs").alias(f"h{x}"), n.alias(f"n{x}"))
+            sized = lambda x: hs.select(F.col("node").alias(x), n.alias(f"n{x}"))
+            fit = pairs.join(sized("a"), "a").join(sized("b"), "b").where(F.least("na", "nb") >= (least - 1e-9) * F.greatest("na", "nb")).select("a", "b")
+            both = fit.join(side("a"), "a").join(side("b"), "b")
+            return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+        test.hashes = hs
+        return test
+
+    def rest(mixed: DataFrame, test) -> DataFrame:
+        """True pairs between odd documents and others of mixed keys, by prefixes of rare shingles.
+
+        Shingles have one order for all documents, rare ones first.  If two documents reach the similarity, they share a
+        shingle among the first (1 - least) of each, and what is left after it is long enough in both; so documents are
+        joined on those shingles, with that bound as part of the join.  Frequency is counted in a bounded number of hash
+        buckets; that decides the order's quality, not the result.
+        """
+        node = mixed.groupBy("node").agg(F.max("odd").alias("odd"), F.max("label").alias("label"))
+        node = staged(node)
+
+        def explode(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                hs = batch.column(2)
+                doc, value, weight = multisets(hs.values.to_numpy(), hs.offsets.to_numpy().astype(np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[doc]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[doc]), pa.array(value.view(np.int64)), pa.array(weight)], names=["node", "odd", "s", "w"])
+
+        each = staged(node.join(test.hashes, "node").select("node", "odd", "hs").mapInArrow(explode, "node long, odd boolean, s long, w long"))
+        bucket = F.xxhash64("s").bitwiseAND(F.lit(buckets - 1))
+        counts = each.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("df"))
+        ranked = each.withColumn("bucket", bucket).join(counts, "bucket").select("node", "odd", "s", "w", "df")
+        order = Window.partitionBy("node").orderBy("df", "s")
+        ranked = ranked.withColumn("total", F.sum("w").over(Window.partitionBy("node"))).withColumn("before", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
+        prefix = staged(ranked.where(F.col("before") <= F.col("total") * (1 - least) + 1e-9).select("node", "odd", "s", "total", (F.col("total") - F.col("before")).alias("left")))
+        odd = prefix.where("odd").select("s", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("left").alias("lb"))
+        other = prefix.select(F.col("s").alias("so"), F.col("node").alias("a"), F.col("total").alias("ta"), F.col("left").alias("la"))
+        enough = F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (least / (1 + least)) - 1e-6
+        pairs = other.join(odd, (F.col("s") == F.col("so")) & (F.col("a") != F.col("b")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return test(staged(pairs))
+
+    return prepare, rest
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY, components: int = COMPONENTS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of each class of copies and near copies."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    split = docs.select("doc_id", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)).alias("hs"), F.col("text").isNotNull().alias("has"))
-    has = F.col("has")
-    split = split.select("doc_id", "hs", F.when(has, F.xxhash64("hs")).alias("h1"), F.when(has, F.xxhash64(F.lit("second"), "hs")).alias("h2"))
-    ids = staged(split.select("doc_id", "h1", "h2"))
-    copies = ids.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    copies = staged(copies)
-    first = ids.join(copies, ["h1", "h2"]).where("doc_id = node").select("node").distinct()
-    distinct = split.select(F.col("doc_id").alias("node"), "hs").join(staged(first), "node", "left_semi").dropDuplicates(["node"])
-    label = linked(signatures(distinct, components, bands, size), verifier(distinct, least, size))
+    split = with_words(docs).select("doc_id", F.when(F.col("hs").isNotNull(), F.xxhash64("hs")).alias("h1"), F.when(F.col("hs").isNotNull(), F.xxhash64(F.lit("second"), "hs")).alias("h2"), F.coalesce("hs", F.array().cast("array<long>")).alias("hs"))
+    signed = staged(signatures(split, components, bands, size))
+    copies = staged(signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    keyed = signed.join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("h1 is not null").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).select("key", "node")
+    label = linked(keyed, *tester(docs, least, size))
     member = copies.join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    out = ids.join(member, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = signed.select("doc_id", "h1", "h2").join(member, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
