@@ -48,11 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: computed once, and lost executors don't matter."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back: computed once, and lost executors don't matter.
+
+    The shuffle files of the write are removed as it ends, since the table stands in for them.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
@@ -77,17 +88,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, label), the label being the smallest node of each component.
 
-    Labels spread to neighbours and jump to their label's label; every round is checkpointed, so lineage stays short.
+    Labels spread to neighbours and jump to their label's label; every round is staged, so lineage stays short.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")).checkpoint()
+    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")).checkpoint()
+        step = staged(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
         label = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return label
