@@ -251,3 +251,17 @@ def test_pipeline_stages(spark, sf_dir, texts):
     label = near_duplicates(docs).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").count()
     assert label <= len(kept) // 20
     assert len(kept) > len(texts) // 4
+
+
+def test_line_simhash(spark):
+    """The lane sums against bits counted one by one, for short, long and very long lines."""
+    from pyspark.sql import functions as F
+
+    from eventloom.llm.line_dedup import lines_of, with_simhash
+
+    texts = [" ".join(f"w{i % 97}" for i in range(300)), " ".join(f"w{i * i % 1013}" for i in range(40000)), "a b\tc  d e f\n\nshort", None, ""]
+    lines = lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    hashes = {r["doc_id"]: [x % 2**64 for x in r["hs"]] for r in lines.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hs")).collect()}
+    got = {r["doc_id"]: r["sim"] % 2**64 for r in with_simhash(lines).collect()}
+    assert got == {k: sum(1 << p for p in range(64) if 2 * sum(x >> p & 1 for x in h) > len(h)) for k, h in hashes.items()}
+    assert {k: len(h) for k, h in hashes.items()} == {0: 300, 1: 40000, 2: 6}
