@@ -265,3 +265,22 @@ def test_line_simhash(spark):
     got = {r["doc_id"]: r["sim"] % 2**64 for r in with_simhash(lines).collect()}
     assert got == {k: sum(1 << p for p in range(64) if 2 * sum(x >> p & 1 for x in h) > len(h)) for k, h in hashes.items()}
     assert {k: len(h) for k, h in hashes.items()} == {0: 300, 1: 40000, 2: 6}
+
+
+def test_changed_words_of_lines_are_found(spark):
+    """Recall of planted pairs whose edit similarity is 0.8 or more; SimHash alone misses nearly all of them."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    rows, planted = [], 0
+    for n in (6, 8, 10, 15, 20, 30, 40) * 5:
+        line = [word() for _ in range(n)]
+        other = list(line)
+        for at in rng.sample(range(n), max(1, n // 10)):
+            other[at] = other[at][1:] + "x"
+        rows += [(2 * planted, " ".join(line)), (2 * planted + 1, " ".join(other))]
+        planted += 1
+    got = {r.doc_id: r.removed_lines for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == [] for k in range(planted))
+    assert sum(got[2 * k + 1] == [0] for k in range(planted)) == planted
