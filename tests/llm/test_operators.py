@@ -284,3 +284,14 @@ def test_changed_words_of_lines_are_found(spark):
     got = {r.doc_id: r.removed_lines for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * k] == [] for k in range(planted))
     assert sum(got[2 * k + 1] == [0] for k in range(planted)) == planted
+
+
+def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
+    """Repeats of lines of one to four words go, exact or fuzzy; blank lines stay."""
+    lines = corpus_pipeline.lines
+    rows = [(1, "All rights reserved.\n\nles.\nsomething else"), (2, "ALL  rights reserved.\n\n\nles.\nno copy"), (3, "all right reserved."), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in queries.QUERIES["op3_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0,3", 3: "0", 4: ""}
+    assert {r.doc_id: r.text for r in lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\n\nno copy", 3: "", 4: None}
