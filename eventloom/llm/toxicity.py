@@ -1,7 +1,7 @@
 """Operator 4: toxicity by the nearest labelled examples.
 
-A bounded, documented sample of labelled documents is indexed by TF-IDF over the words that tell the labels apart best.
-The inverted index is cut into blocks of examples with the largest weight of each word per block (block-max); a document
+A bounded, documented sample of labelled documents is indexed by TF-IDF over all their words, and norms are those of whole
+texts: a word that no example has counts as one of no document.  The inverted index is cut into blocks of examples with the largest weight of each word per block (block-max); a document
 visits blocks in order of their upper bounds and stops when no bound can reach its k-th best cosine, so the neighbours
 are exact.  Their votes, weighted by distance, are calibrated on the examples themselves, each left out of its own vote.
 
@@ -27,72 +27,98 @@ from .common import crc_fold, map_arrow, staged, table
 
 TOKEN = r"\p{L}+"
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: At most so many examples of each label, the first by hash of the id, and at most so many indexed words.
+#: At most so many examples of each label, the first by hash of the id.
 MOST_EXAMPLES = 3000
-MOST_WORDS = 512
-LEAST_G2 = 25.0
 NEIGHBOURS = 25
 BLOCK = 64
 CUT = 0.7
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all spans one after another, and the span that each is of."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), np.repeat(np.arange(len(n)), n)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings of each word, cut into blocks of BLOCK examples, with their largest weights."""
+    """Postings of each word in order of examples, cut into blocks of BLOCK examples, with their largest weights.
+
+    Only blocks that have the word are held: word t has the cells cells[t] to cells[t + 1].
+    """
 
     words: dict[str, int]
     idf: np.ndarray
+    unseen: float
     labels: np.ndarray
     doc_ids: np.ndarray
-    ids: list[np.ndarray]
-    weights: list[np.ndarray]
-    cuts: np.ndarray  # (word, block): where the block's postings start
-    tops: np.ndarray  # (word, block): the largest weight
+    indptr: np.ndarray  # by example: where its words start in terms and values
+    terms: np.ndarray
+    values: np.ndarray
+    ids: np.ndarray  # by posting
+    weights: np.ndarray
+    cells: np.ndarray
+    blocks: np.ndarray  # by cell
+    starts: np.ndarray  # by cell, and the end of the last
+    tops: np.ndarray
 
     @classmethod
-    def build(cls, words: list[str], df: list[int], n: int, vectors: list[dict[int, float]], labels, doc_ids) -> BlockMaxIndex:
-        """vectors: by example, the count of each word's number."""
-        idf = np.log((n + 1) / (np.array(df, float) + 1)) + 1 if words else np.zeros(0)
-        blocks = -(-len(vectors) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in words]
-        for i, v in enumerate(vectors):
-            for w, x in cls.weigh(v, idf).items():
-                postings[w].append((i, x))
-        ids = [np.array([i for i, _ in p], np.int64) for p in postings]
-        weights = [np.array([x for _, x in p]) for p in postings]
-        cuts = np.array([np.searchsorted(i, np.arange(blocks + 1) * BLOCK) for i in ids]).reshape(len(words), blocks + 1)
-        tops = np.array([[x[a:b].max() if b > a else 0.0 for a, b in zip(c, c[1:], strict=False)] for x, c in zip(weights, cuts, strict=True)]).reshape(len(words), blocks)
-        return cls({w: i for i, w in enumerate(words)}, idf, np.array(labels, int), np.array(doc_ids, np.int64), ids, weights, cuts, tops)
-
-    @staticmethod
-    def weigh(counts: dict[int, float], idf: np.ndarray) -> dict[int, float]:
-        """Unit vector of (1 + log count) * idf."""
-        raw = {w: (1 + math.log(c)) * idf[w] for w, c in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {w: x / norm for w, x in raw.items()}
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        known = self.words
-        counts = Counter(w for w in _TOKEN.findall((text or "").lower()) if w in known)
-        return self.weigh({known[w]: c for w, c in counts.items()}, self.idf)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosines, largest first, and these cosines."""
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, q = list(query), np.array(list(query.values()))
-        bound = q @ self.tops[terms]
+    def build(cls, words: list[str], example: np.ndarray, word: np.ndarray, count: np.ndarray, labels, doc_ids) -> BlockMaxIndex:
+        """example, word, count: the examples' numbers, their words' numbers and how often they have them."""
+        n = len(labels)
+        idf = np.log((n + 1) / (np.bincount(word, minlength=len(words)) + 1)) + 1
+        by = np.lexsort((word, example))
+        example, word = example[by], word[by]
+        raw = (1 + np.log(count[by])) * idf[word]
+        values = raw / np.sqrt(np.bincount(example, raw * raw, n))[example]
+        indptr = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))])
+        by = np.lexsort((example, word))
+        ids, of, weights = example[by], word[by], values[by]
+        new = np.ones(len(ids), bool)
+        new[1:] = (of[1:] != of[:-1]) | (ids[1:] // BLOCK != ids[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        tops = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+        cells = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(words)))])
+        numbers = {w: i for i, w in enumerate(words)}
+        return cls(numbers, idf, math.log(n + 1) + 1, np.array(labels, int), np.array(doc_ids, np.int64), indptr, word, values, ids, weights, cells, ids[first] // BLOCK, np.append(first, len(ids)), tops)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The indexed words of a text and their weights, by the norm of the whole text."""
+        counts = sorted(Counter(_TOKEN.findall((text or "").lower())).items())
+        terms = np.array([self.words.get(w, -1) for w, _ in counts], np.int64)
+        seen = terms >= 0
+        raw = 1 + np.log(np.array([c for _, c in counts], float))
+        raw[seen] *= self.idf[terms[seen]]
+        raw[~seen] *= self.unseen
+        return terms[seen], raw[seen] / math.sqrt((raw * raw).sum() or 1.0)
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.indptr[i], self.indptr[i + 1])
+        return self.terms[at], self.values[at]
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosines, largest first, and these cosines.
+
+        Blocks are visited in order of their bounds, twice as many each time.
+        """
+        terms, q = query
         found_i, found_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for t, x in zip(terms, q, strict=True):
-                lo, hi = self.cuts[t, b], self.cuts[t, b + 1]
-                got[self.ids[t][lo:hi] - b * BLOCK] += x * self.weights[t][lo:hi]
-            at = np.flatnonzero(got > 0)
-            at = at[at + b * BLOCK != without]
-            found_i, found_s = np.concatenate([found_i, at + b * BLOCK]), np.round(np.concatenate([found_s, got[at]]), 12)
+        if not len(terms):
+            return found_i, found_s
+        n = -(-len(self.labels) // BLOCK)
+        cell, which = spans(self.cells[terms], self.cells[terms + 1])
+        bound = np.bincount(self.blocks[cell], q[which] * self.tops[cell], n)
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 4
+        while at < n and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
+            visited = np.zeros(n, bool)
+            visited[order[at : at + step]] = True
+            at, step = at + step, 2 * step
+            here = visited[self.blocks[cell]]
+            post, of = spans(self.starts[cell[here]], self.starts[cell[here] + 1])
+            got = np.bincount(self.ids[post], q[which[here]][of] * self.weights[post], len(self.labels))
+            new = np.flatnonzero(got > 0)
+            new = new[new != without]
+            found_i, found_s = np.concatenate([found_i, new]), np.round(np.concatenate([found_s, got[new]]), 12)
             if len(found_i) > k:
                 best = np.lexsort((found_i, -found_s))[:k]
                 found_i, found_s = found_i[best], found_s[best]
@@ -138,8 +164,8 @@ class ToxicityModel:
         return float(np.interp(self.vote(ids, cosines), *self.knots)), self.index.doc_ids[ids[:5]].tolist(), cosines[:5].round(6).tolist()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_examples: int = MOST_EXAMPLES, most_words: int = MOST_WORDS, k: int = NEIGHBOURS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
-    """Chooses words by the G2 statistic of their document counts, and indexes the sampled examples."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
+    """Indexes the sampled examples by all their words."""
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     size = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -152,24 +178,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
     if not n0 or not n1:
         total = sum(size.values())
         return ToxicityModel(None, {0: 1.0, 1: 1.0}, (size.get(1, 0) + 1) / (total + 2))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    part = lambda o, r, q: F.when(o > 0, o * F.log(o * (n0 + n1) / (r * q))).otherwise(F.lit(0.0))
-    g2 = 2 * (part(a, a + b, F.lit(float(n1))) + part(b, a + b, F.lit(float(n0))) + part(c, c + d, F.lit(float(n1))) + part(d, c + d, F.lit(float(n0))))
-    stats = tokens.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).withColumn("g2", F.round(g2, 6))
-    chosen = stats.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "w").limit(most_words).collect()
-    number = {r["w"]: i for i, r in enumerate(chosen)}
-    vectors: dict[int, dict[int, float]] = {i: {} for i in examples}
-    for r in tokens.join(F.broadcast(stats.where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "w").limit(most_words).select("w")), "w").collect():
-        if r["w"] in number:
-            vectors[r["doc_id"]][number[r["w"]]] = r["count"]
-    # examples with the same words stand together, which makes the block bounds tight
-    ids = sorted(examples, key=lambda i: (sorted(vectors[i]), i))
-    index = BlockMaxIndex.build(list(number), [r["a"] + r["b"] for r in chosen], len(ids), [vectors[i] for i in ids], [examples[i] for i in ids], ids)
+    got = tokens.select("doc_id", "w", "count").toArrow()
+    words, word = np.unique(got["w"].to_numpy().astype(str), return_inverse=True)
+    ids = sorted(examples)
+    example = np.searchsorted(np.array(ids, np.int64), got["doc_id"].to_numpy())
+    index = BlockMaxIndex.build(words.tolist(), example, word, got["count"].to_numpy().astype(float), [examples[i] for i in ids], ids)
     model = ToxicityModel(index, {0: size[0] / n0, 1: size[1] / n1}, k=k)
     votes, ys, empty = [], [], [1e-9, 1e-9]
     for at, i in enumerate(ids):
-        near, cosines = index.nearest(index.weigh(vectors[i], index.idf), k, without=at)
+        near, cosines = index.nearest(index.example(at), k, without=at)
         if len(near):
             votes.append(model.vote(near, cosines))
             ys.append(examples[i])
@@ -183,7 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, cut: float = CUT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted, evidence, cosines) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: bounded by the numbers of examples and words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of examples
 
     def make():
         m = shared.value

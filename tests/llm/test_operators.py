@@ -295,3 +295,18 @@ def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
     got = {r.doc_id: r.removed_lines for r in queries.QUERIES["op3_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: "", 2: "0,3", 3: "0", 4: ""}
     assert {r.doc_id: r.text for r in lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\n\nno copy", 3: "", 4: None}
+
+
+def test_toxicity_compares_whole_texts(spark):
+    """Neighbours and cosines are those of all words, also of words that no example has."""
+    import math
+
+    texts = {i: f"word{chr(97 + i % 26)}{chr(97 + i // 26)} common {'vile' if i == 7 else 'plain'} text" for i in range(200)}
+    docs = spark.createDataFrame([*texts.items(), (500, texts[7]), (501, texts[8] + " neverseen"), (502, "nothing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in texts], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(docs, fit_toxicity(docs, labels)).collect()}
+    assert got[500].evidence[0] == 7 and got[500].cosines[0] == 1
+    idf = lambda df: math.log(201 / (df + 1)) + 1
+    square = idf(1) ** 2 + 2 * idf(200) ** 2 + idf(199) ** 2
+    assert got[501].evidence[0] == 8 and abs(got[501].cosines[0] - math.sqrt(square / (square + idf(0) ** 2))) < 1e-6
+    assert got[502].evidence == []
