@@ -198,9 +198,9 @@ def n225_left_join(spark, d):
     return refdata.join_codelist(members, codes, "sec").drop("sec")
 
 
-def _codelists(spark, d):
-    ja = b.table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit(" E"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("ＥＤＩＮＥＴコード"), F.concat(F.lit("業"), F.col("s_nationkey").cast("string")).alias("提出者業種"), F.concat(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.lit("0")).alias("証券コード"))
-    en = b.table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("EDINET Code"), F.concat(F.lit("industry "), F.col("s_nationkey").cast("string")).alias("Submitter's industry"))
+def _codelists(spark, d, whole: bool = False):
+    ja = b.table(spark, d, "supplier").where("true" if whole else "s_suppkey % 3 <> 0").select(F.concat(F.lit(" E"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("ＥＤＩＮＥＴコード"), F.concat(F.lit("業"), F.col("s_nationkey").cast("string")).alias("提出者業種"), F.concat(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.lit("0")).alias("証券コード"))
+    en = b.table(spark, d, "supplier").where("true" if whole else "s_suppkey % 2 = 0").select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("EDINET Code"), F.concat(F.lit("industry "), F.col("s_nationkey").cast("string")).alias("Submitter's industry"))
     return ja, en
 
 
@@ -220,6 +220,14 @@ def attach_industry(spark, d):
     return refdata.attach_by_code(lines, refdata.industry_map(*_codelists(spark, d)), "both").drop("edinet_code")
 
 
+@query(f"""WITH {_JA.split(" WHERE ")[0]}), {_EN.split(" WHERE ")[0]}), m AS (SELECT code, jp, en FROM ja FULL JOIN en USING (code))
+SELECT l_orderkey, l_linenumber, jp AS industry_jp, en AS industry_en, jp AS industry FROM lineitem LEFT JOIN m ON 'E' || l_suppkey = code""")
+def attach_industry_all(spark, d):
+    """attach_industry over all lines and all codes."""
+    lines = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("E"), F.col("l_suppkey").cast("string")).alias("edinet_code"))
+    return refdata.attach_by_code(lines, refdata.industry_map(*_codelists(spark, d, whole=True)), "both").drop("edinet_code")
+
+
 @query(f"""WITH {_JA}, {_EN}, m AS (SELECT code, jp, en FROM ja FULL JOIN en USING (code))
 SELECT s_suppkey, en AS industry_en, en AS industry FROM supplier LEFT JOIN ja ON sec = lpad(CAST(s_suppkey AS VARCHAR), 4, '0') LEFT JOIN m ON m.code = ja.code""")
 def attach_industry_by_ticker(spark, d):
@@ -384,6 +392,17 @@ def year_fe_dummies(spark, d):
     return regression.year_dummies(o, "day").drop("day")
 
 
+_YEARS = range(1996, 2002)
+
+
+@query(f"""SELECT event_key, industry, {", ".join(f"CASE WHEN y = {y} THEN 1.0 ELSE 0.0 END::DOUBLE AS year_{y}" for y in _YEARS)}
+FROM (SELECT o_orderkey AS event_key, o_orderpriority AS industry, year(o_orderdate) AS y FROM orders)""")
+def year_fe_dummies_all(spark, d):
+    """year_fe_dummies over all years."""
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_key"), F.col("o_orderpriority").alias("industry"), F.to_date("o_orderdate").alias("day"))
+    return regression.year_dummies(o, "day").drop("day")
+
+
 @query(f"""WITH {CAR}, {EVENTS.replace('ev AS', 'p AS')}, k AS (SELECT ticker, d, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT lo AS window_start, hi AS window_end, CAST(sum(n) AS BIGINT) AS n_pairs FROM car JOIN k ON car.ticker = k.ticker AND car.d = k.d GROUP BY 1, 2""")
 def car_panel_fanout(spark, d):
