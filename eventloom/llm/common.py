@@ -35,29 +35,32 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name under the folder that driver and executors share; a temporary one where none is set (tests)."""
+    """A new folder's name under the folder that driver and executors share.
+
+    Where none is set, a local master gets a temporary one (tests); on a cluster that is an error, as each machine would
+    have a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
+        if not found.isEmpty():
+            base = found.get()
+        elif sc.master.split("[")[0] == "local":
             base = tempfile.mkdtemp(prefix="eventloom-")
             sc.setCheckpointDir(base)
         else:
-            base = found.get()
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base}/{uuid.uuid4().hex}"
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: computed once, and lost executors don't matter.
-
-    The shuffle files of the write are removed as it ends, since the table stands in for them.
-    """
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """Writes df as Parquet and reads it back.  The shuffle files of the write are removed, since the table stands in for them."""
     spark = df.sparkSession
-    path, before = shared_dir(spark), spark.conf.get(CLEAN_UP, None)
+    before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
@@ -66,6 +69,36 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A table in the shared folder: computed once, and lost executors don't matter.  It stays, for results that read it."""
+    return write_and_read(df, shared_dir(df.sparkSession))
+
+
+class Scratch:
+    """Staged tables that are deleted when the block ends, or earlier by drop."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(t for t, _ in self.tables))
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        self.tables.append((write_and_read(df, path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Applies the function that make() builds once per task to columns of lists, batch by batch."""
 
@@ -85,40 +118,21 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """Connected components of edges (a, b): (node, label), the label being the smallest node of each component.
 
-    Labels spread to neighbours and jump to their label's label; every round is staged, so lineage stays short.
-    """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = staged(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
-        label = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            return label
-
-
-def maybe_in(keys: DataFrame, column: str, bits: int = 22) -> Callable[[Column], Column]:
-    """A test that holds for every value of the long column of keys, and for few others: a bitmap of hash buckets.
-
-    The bitmap has 2**bits bits whatever the number of keys, so it may go to every task; with many more keys than bits
-    it lets all rows pass.  It only spares rows a shuffle: an exact join follows.
+    Labels spread to neighbours and jump to their label's label; every round is staged, so lineage stays short, and goes
+    when the next one is there.  The result is staged in keep.
     """
-    import json
-
-    bucket = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    found = keys.select(bucket(F.col(column)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("v"))
-    words = [0] * (1 << (bits - 6))
-    for r in found.collect():
-        words[r["word"]] = r["v"]
-    literal = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
-
-    def test(c: Column) -> Column:
-        b = bucket(c)
-        return F.call_function("shiftrightunsigned", F.get(literal, F.shiftright(b, 6).cast("int")), b.bitwiseAND(63).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return test
+    with Scratch(keep.spark) as scratch:
+        both = scratch.staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        step = scratch.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("label")))
+        while not step.where("old <> label").isEmpty():
+            label = step.select("node", "label")
+            near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            new = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+            jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            new = scratch.staged(new.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
+            scratch.drop(step)
+            step = new
+        return keep.staged(step.select("node", "label"))

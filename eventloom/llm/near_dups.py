@@ -6,20 +6,26 @@ Poisson processes over dyadic blocks of its discretised weight, points of a bloc
 block is cut by the weight, and each signature component keeps the earliest point that falls to it.  Signatures are
 banded; pairs of a band are verified by the exact weighted Jaccard similarity of their multisets.
 
-Cases: a null text is a class by itself; all texts without words are copies of each other.  Words are compared in lower case.  Texts of any length
-are whole.  Rows that repeat a doc_id fall in one row of the result.  Rows with a null doc_id are left out.  Only the id
-and text columns are read, so others may have any name.  An empty table gives an empty table.
+Near copies that no star reaches are found by how they differ from what most of their group has (see apart).
+
+Cases: a null text is a class by itself; all texts without words are copies of each other.  Words are compared in lower
+case.  Texts of any length are whole.  near_duplicates classes doc_ids: it leaves out rows without one, and a doc_id that
+is repeated with several texts is in the class of the smallest id.  drop_near_duplicates tells rows apart by their texts
+and keeps one row of each class, that of the smallest doc_id, also among rows that repeat that id or have none; rows
+without a text stay.  Only the id and text columns are read, so others may have any name.  An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_in, staged, table, words
+from .common import Scratch, components as connected, staged, table, words
 from .groups import linked
 
 SHINGLE = 5
@@ -89,8 +95,9 @@ def bag_minhash(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_do
     Two bags agree in a component with the probability of their weighted Jaccard similarity.  Weights are positive
     integers.  The weight axis is cut into the blocks (0, 1], (1, 2], (2, 4], (4, 8] ...; a block of width v is a Poisson
     process of rate v for each component, so of rate v * m in all.  A point takes a component and, in a block that reaches
-    past the weight, a level that is found by halving the block; points above the weight are dropped.  Equal elements see
-    equal points up to the smaller weight, whatever the bag.  A process ends when its time has passed all of its bag's
+    past the weight, a level, drawn evenly in the block at once, which has the same distribution as halving the block level
+    by level; points above the weight are dropped.  Equal elements see equal points up to the smaller weight, whatever the
+    bag.  A process ends when its time has passed all of its bag's
     minima, so that few points are made.
     """
     times, marks = np.full(n_docs * m, np.inf), np.zeros(n_docs * m, np.uint64)
@@ -148,14 +155,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, hs array<long>): hashes of the lower-case words; null for null texts."""
-    split = F.transform(words(F.lower("text")), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", F.when(F.col("text").isNotNull(), split).alias("hs"))
+def word_hashes(text: str = "text") -> Column:
+    """Hashes of the lower-case words; null for null texts."""
+    return F.when(F.col(text).isNotNull(), F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
 def signatures(df: DataFrame, components: int, bands: int, size: int, at_once: int = 128) -> DataFrame:
-    """(doc_id, h1, h2, n, keys array<long>): a key per band, from (doc_id, h1, h2, hs)."""
+    """(doc_id, raw, h1, size, keys array<long>): the number of shingles and a key per band, from (doc_id, raw, h1, hs)."""
     rows = components // bands
 
     def run(batches: Iterator) -> Iterator:
@@ -171,13 +177,69 @@ def signatures(df: DataFrame, components: int, bands: int, size: int, at_once: i
                 for r in range(rows):
                     key = mix(key * _GOLD + marks[:, r * bands : (r + 1) * bands])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(offsets)), lists], names=["doc_id", "h1", "h2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.maximum(np.diff(offsets) - (size - 1), 1)), lists], names=["doc_id", "raw", "h1", "size", "keys"])
 
-    return df.select("doc_id", "h1", "h2", "hs").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
+    return df.select("doc_id", "raw", "h1", "hs").mapInArrow(run, "doc_id long, raw long, h1 long, size long, keys array<long>")
 
 
-def tester(docs: DataFrame, least: float, size: int, buckets: int = 1 << 20):
-    """prepare and rest for groups.linked."""
+def levels(docs: DataFrame, size: int) -> DataFrame:
+    """(node, els array<long>): a document's multiset as a set; the k-th occurrence of a shingle is an element of its own."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            hs = batch.column(1)
+            doc, value, weight = multisets(hs.values.to_numpy(), hs.offsets.to_numpy().astype(np.int64), size)
+            k = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            els = mix(np.repeat(value, weight) + _GOLD * k.astype(np.uint64)).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(els))], names=["node", "els"])
+
+    return docs.select("node", "hs").mapInArrow(run, "node long, els array<long>")
+
+
+def apart(mixed: DataFrame, docs: DataFrame, least: float, size: int, scratch: Scratch) -> DataFrame:
+    """Candidates (a, b) among documents that share a large key but lie in different components: no true pair is missing.
+
+    Documents that are joined by such keys form a group.  What more than half of a group have is its consensus, and a
+    document is told by its differences from that: d of them, in a document of n elements.  Two documents that have o
+    differences in common differ in da + db - 2 * o elements, so they reach the similarity when o >= (xa + xb) / 2, with
+    x = d - n * (1 - least) / (1 + least).  Where xa + xb <= 0 they surely do, and then both do with the document of the
+    group's smallest x: one star.  All others must share a difference, so documents are joined on those alone, the rare
+    ones first and only as many as the least overlap demands; what the group has in common is never joined on.
+    """
+    node = scratch.staged(mixed.groupBy("node").agg(F.min("label").alias("label")))
+    low = mixed.groupBy("key").agg(F.min("node").alias("a"))
+    group = connected(mixed.join(low, "key").select("a", F.col("node").alias("b")), scratch).withColumnRenamed("label", "g")
+    els = scratch.staged(levels(docs.join(node.select("node"), "node", "left_semi"), size).join(node.join(group, "node"), "node"))
+    half = els.groupBy("g").agg((F.count("*") / 2).alias("half"))
+    common = els.select("g", F.explode("els").alias("e")).groupBy("g", "e").agg(F.count("*").alias("c")).join(half, "g").where("c > half")
+    common = common.groupBy("g").agg(F.collect_list("e").alias("common"))  # shorter than twice the mean document
+    none, slack = F.array().cast("array<long>"), (1 - least) / (1 + least)
+    differ = els.join(common, "g", "left").withColumn("common", F.coalesce("common", none))
+    differ = differ.select("node", "g", "label", F.size("els").alias("n"), F.array_except("els", "common").alias("more"), F.array_except("common", "els").alias("less"))
+    differ = differ.withColumn("x", F.size("more") + F.size("less") - F.col("n") * F.lit(slack))
+    differ = scratch.staged(differ.select("node", "g", "label", "n", "x", F.concat("more", F.transform("less", lambda e: F.xxhash64(e))).alias("diff")))
+    centre = differ.groupBy("g").agg(F.min_by(F.struct("node", "label", "x"), F.struct("x", "node")).alias("c"))
+    star = differ.join(centre, "g").where((F.col("x") + F.col("c.x") <= 1e-6) & (F.col("label") != F.col("c.label"))).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+    each = differ.select("node", "g", "label", "n", "x", F.explode("diff").alias("e"))
+    shared = each.groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")  # a difference of one document alone can't be shared
+    placed = each.join(shared, ["g", "e"])
+    order, whole = Window.partitionBy("node").orderBy("c", "e"), Window.partitionBy("node")
+    placed = placed.withColumn("left", F.count("*").over(whole) - F.row_number().over(order) + 1).join(centre.select("g", F.col("c.x").alias("cx")), "g")
+    # the differences left, from this one on, must be enough for the nearest that a partner can be
+    placed = scratch.staged(placed.where(F.col("left") >= F.greatest((F.col("x") + F.col("cx")) / 2 - 1e-6, F.lit(1))).select("node", "g", "label", "n", "x", "e", "left"))
+    one = placed.select("g", "e", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", "x", "left")))
+    two = placed.select(F.col("g").alias("g2"), F.col("e").alias("e2"), *(F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "x", "left")))
+    on = (F.col("g") == F.col("g2")) & (F.col("e") == F.col("e2")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    on = on & (F.least("a_n", "b_n") >= (least - 1e-9) * F.greatest("a_n", "b_n")) & (F.least("a_left", "b_left") >= (F.col("a_x") + F.col("b_x")) / 2 - 1e-6)
+    pairs = one.join(two, on).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(pairs).distinct()
+
+
+def tester(docs: DataFrame, signed: DataFrame, least: float, size: int):
+    """similar, band, prepare and rest for groups.linked; nodes are hashes of word lists."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -193,74 +255,69 @@ def tester(docs: DataFrame, least: float, size: int, buckets: int = 1 << 20):
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    def prepare(nodes: DataFrame):
-        # texts of the nodes alone are shuffled, and hashed once for all tests
-        some = docs.where(maybe_in(nodes, "node")(F.col("doc_id"))).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        hs = staged(with_words(some.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("node"), "hs"))
+    def prepare(nodes: DataFrame, scratch: Scratch):
+        # texts of the nodes alone are shuffled, one of each, and hashed once for all tests
+        chosen = signed.join(nodes.withColumnRenamed("node", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min("raw").alias("raw"))
+        some = docs.where("text is not null").withColumn("raw", raw_hash()).join(chosen, "raw").dropDuplicates(["raw"])
+        hs = scratch.staged(some.select(F.col("h1").alias("node"), word_hashes().alias("hs")))
 
         def test(pairs: DataFrame) -> DataFrame:
-            n = F.greatest(F.size("hs") - (size - 1), F.lit(1))
-            side = lambda x: hs.select(F.col("node").alias(x), F.col("hs").alias(f"h{x}"), n.alias(f"n{x}"))
-            sized = lambda x: hs.select(F.col("node").alias(x), n.alias(f"n{x}"))
-            fit = pairs.join(sized("a"), "a").join(sized("b"), "b").where(F.least("na", "nb") >= (least - 1e-9) * F.greatest("na", "nb")).select("a", "b")
-            both = fit.join(side("a"), "a").join(side("b"), "b")
+            side = lambda x: hs.select(F.col("node").alias(x), F.col("hs").alias(f"h{x}"))
+            both = pairs.join(side("a"), "a").join(side("b"), "b")
             return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
         test.hashes = hs
         return test
 
-    def rest(mixed: DataFrame, test) -> DataFrame:
-        """True pairs between odd documents and others of mixed keys, by prefixes of rare shingles.
-
-        Shingles have one order for all documents, rare ones first.  If two documents reach the similarity, they share a
-        shingle among the first (1 - least) of each, and what is left after it is long enough in both; so documents are
-        joined on those shingles, with that bound as part of the join.  Frequency is counted in a bounded number of hash
-        buckets; that decides the order's quality, not the result.
-        """
-        node = mixed.groupBy("node").agg(F.max("odd").alias("odd"), F.max("label").alias("label"))
-        node = staged(node)
-
-        def explode(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                hs = batch.column(2)
-                doc, value, weight = multisets(hs.values.to_numpy(), hs.offsets.to_numpy().astype(np.int64), size)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[doc]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[doc]), pa.array(value.view(np.int64)), pa.array(weight)], names=["node", "odd", "s", "w"])
-
-        each = staged(node.join(test.hashes, "node").select("node", "odd", "hs").mapInArrow(explode, "node long, odd boolean, s long, w long"))
-        bucket = F.xxhash64("s").bitwiseAND(F.lit(buckets - 1))
-        counts = each.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("df"))
-        ranked = each.withColumn("bucket", bucket).join(counts, "bucket").select("node", "odd", "s", "w", "df")
-        order = Window.partitionBy("node").orderBy("df", "s")
-        ranked = ranked.withColumn("total", F.sum("w").over(Window.partitionBy("node"))).withColumn("before", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
-        prefix = staged(ranked.where(F.col("before") <= F.col("total") * (1 - least) + 1e-9).select("node", "odd", "s", "total", (F.col("total") - F.col("before")).alias("left")))
-        odd = prefix.where("odd").select("s", F.col("node").alias("b"), F.col("total").alias("tb"), F.col("left").alias("lb"))
-        other = prefix.select(F.col("s").alias("so"), F.col("node").alias("a"), F.col("total").alias("ta"), F.col("left").alias("la"))
-        enough = F.least("la", "lb") >= (F.col("ta") + F.col("tb")) * (least / (1 + least)) - 1e-6
-        pairs = other.join(odd, (F.col("s") == F.col("so")) & (F.col("a") != F.col("b")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return test(staged(pairs))
-
-    return prepare, rest
-
-
-def near_duplicates(docs: DataFrame, least: float = LEAST_SIMILARITY, components: int = COMPONENTS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id of each class of copies and near copies."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    split = with_words(docs).select("doc_id", F.when(F.col("hs").isNotNull(), F.xxhash64("hs")).alias("h1"), F.when(F.col("hs").isNotNull(), F.xxhash64(F.lit("second"), "hs")).alias("h2"), F.coalesce("hs", F.array().cast("array<long>")).alias("hs"))
-    signed = staged(signatures(split, components, bands, size))
-    copies = staged(signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
-    keyed = signed.join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("h1 is not null").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).select("key", "node")
-    label = linked(keyed, *tester(docs, least, size))
-    member = copies.join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    out = signed.select("doc_id", "h1", "h2").join(member, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    def rest(mixed: DataFrame, test, scratch: Scratch) -> DataFrame:
+        return apart(mixed, test.hashes, least, size, scratch)
+
+    def similar(a: str, b: str) -> Column:
+        return F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
+
+    def band(size: str) -> Column:
+        return F.floor(F.log(size) / -math.log(least) + 1e-9).cast("int")
+
+    return similar, band, prepare, rest
+
+
+def raw_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def classes(docs: DataFrame, scratch: Scratch, least: float = LEAST_SIMILARITY, components: int = COMPONENTS, bands: int = BANDS, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (doc_id, raw, h1, keys) of all rows with a text, and (h1, label, first_id) of each distinct word list."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    split = docs.where("text is not null").select("doc_id", raw_hash().alias("raw"), word_hashes().alias("hs"))
+    signed = scratch.staged(signatures(split.withColumn("h1", F.xxhash64("hs")), components, bands, size))
+    lists = signed.groupBy("h1").agg(F.min("doc_id").alias("id"))
+    keyed = signed.dropDuplicates(["h1"]).select(F.col("h1").alias("node"), "size", F.explode("keys").alias("key"))
+    label = linked(keyed, *tester(docs, signed, least, size), scratch)
+    member = lists.join(label.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "id", F.coalesce("label", "h1").alias("label"))
+    first = member.groupBy("label").agg(F.min("id").alias("first_id"))
+    return signed, scratch.staged(member.join(first, "label").select("h1", "label", "first_id"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id of each class of copies and near copies, a row for each doc_id there is."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed, found = classes(docs, scratch, **options)
+        out = staged(signed.where("doc_id is not null").select("doc_id", "h1").join(found, "h1").groupBy("doc_id").agg(F.min("first_id").alias("class_id")))
+    none = docs.where("text is null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return out.union(none.join(out, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that with the smallest id; rows with a null doc_id stay."""
-    label = near_duplicates(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__doc"))
-    return docs.join(label, docs["doc_id"] == label["__doc"], "left_anti")
+    """One row of each class: that with the smallest doc_id."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed, found = classes(docs, scratch, **options)
+        rows = signed.select("doc_id", "raw", "h1").join(found, "h1").where("doc_id <=> first_id")
+        # rows that are kept, by their texts; a class may have several under its first id
+        kept = staged(rows.groupBy("label").agg(F.first("first_id").alias("__id"), F.min("raw").alias("__raw"), F.count("*").alias("__n")).select("__id", "__raw", (F.col("__n") > 1).alias("__more")))
+    text = docs["text"].isNotNull()
+    out = docs.where(text).join(kept, F.xxhash64(docs["text"]).eqNullSafe(kept["__raw"]) & docs["doc_id"].eqNullSafe(kept["__id"]))
+    many = out.where("__more").dropDuplicates(["__id", "__raw"])
+    return docs.where(~text).union(out.where("not __more").union(many).select(*docs.columns))
 
 
 def op2_bagminhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
