@@ -1,19 +1,21 @@
 """Operator 6: byte-level BPE encoding and decoding.
 
-A first pass over Arrow batches splits texts into pieces by the tokenizer's pattern and numbers each block's distinct
-pieces.  Spark higher-order functions then fold the ranked merges over the byte arrays of the distinct pieces, looking
-pairs up in a literal map, and turn ids back into binary pieces by a literal array.  A last pass puts the pieces' ids and
-bytes in their places.  A block travels as one row, so nothing is shuffled and the block's size bounds memory.
-
-In a fold, a token is the character whose code is its rank plus one, so that a piece is a string, a merge puts one
-character in the place of two, and the least character of the possible merges is the one of the lowest rank.  Before
-that, bytes are the characters U+0000 to U+00FF.  The literal map is an array of small maps, one per hash bucket, as a
-look-up in one large map would scan it.
-
-Cases: a null or empty text has no ids and decodes to no bytes.  Pieces of over LONG bytes are folded by a heap in the
-last pass, since a fold over a long string is quadratic; their ids are the same.  Texts of any length are whole.
-Repeated rows are encoded each by itself.  Only the id and text columns are read, so others may have any name.  An empty
-table gives an empty table.
+A first pass over Arrow batches splits texts into pieces by the tokenizer's pattern and numbers the distinct pieces that a
+task has met.  Spark higher-order functions then fold the ranked merges over the bytes of each new piece, looking pairs up
+in a literal map, and turn ids back into binary pieces by a literal array.  A last pass, in the same task, keeps the ids and
+bytes of the pieces by number and puts them in their places.  Texts travel in blocks, a row each, with the pieces that are
+new in it; nothing is shuffled.  When a task has met MOST_PIECES pieces both sides forget them and go on, so memory is
+bounded by that and by a block, whatever the size of a task.
+
+In a fold, a token is the character whose code follows from its rank (see token), so that a piece is a string, a merge puts
+one character in the place of two, and the least character of the possible merges is the one of the lowest rank.  Before
+that, bytes are the characters U+0000 to U+00FF.  The literal map is an array of small maps, one per hash bucket, as a look-up in one large map
+would scan it.
+
+Cases: a null or empty text has no ids and decodes to no bytes.  A fold looks all pairs up for every merge, so its time
+grows with the square of a piece's length; pieces of over LONG bytes are folded by a heap in the last pass instead, with the same
+ids.  Texts of any length are whole.  Repeated rows are encoded each by itself.  Only the id and text columns are read, so
+others may have any name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -39,7 +42,8 @@ WHITE = "".join(map(chr, _WHITE))
 MARK = "\x1e"
 LONG = 256
 BUCKETS = 1 << 16
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 1_000_000
+MOST_PIECES = 250_000
 
 
 @cache
@@ -56,7 +60,13 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 def token(rank: int) -> str:
-    return chr(rank + 1)
+    """The character of a rank; characters have the order of ranks, and none is a surrogate."""
+    return chr(rank + 1 if rank + 1 < 0xD800 else rank + 1 + 0x800)
+
+
+def rank_of(character: Column) -> Column:
+    code = F.ascii(character)
+    return F.when(code < 0xD800, code - 1).otherwise(code - 1 - 0x800)
 
 
 def hashed(entries: dict[str, object], kind: str) -> Column:
@@ -103,7 +113,7 @@ def fold_merges(piece: Column, single: str, merges: Column, whole: Column) -> Co
 
     start = F.translate(piece, "".join(map(chr, range(256))), single)
     folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), start, step)
-    return bind(look_up(whole, piece), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.transform(F.split(folded, ""), lambda c: F.ascii(c) - 1)))
+    return bind(look_up(whole, piece), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.transform(F.split(folded, ""), rank_of)))
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -146,8 +156,9 @@ def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def number_pieces(texts, find: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct pieces of an Arrow array of strings, the pieces' numbers text by text, and the texts' offsets in them.
+def number_pieces(texts, find: Callable[[str], list[str]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an Arrow array of strings' pieces, text by text, and the texts' offsets in them; new pieces are
+    numbered on.
 
     Texts are cut before each run of other characters and the one white space character ahead of it.  No piece of the
     pattern spans such a cut, so the pattern is applied to the distinct parts alone.  Texts that hold the mark
@@ -160,7 +171,6 @@ def number_pieces(texts, find: Callable[[str], list[str]]) -> tuple[list[str], n
     marked = pc.match_substring(texts, MARK)
     parts = pc.split_pattern(pc.replace_substring_regex(pc.if_else(marked, "", texts), f"([{_SPACES}]?[^{_SPACES}]+)", MARK + r"\1"), MARK)
     coded = parts.flatten().dictionary_encode()
-    number: dict[str, int] = {}
     flat, ends = [], [0]
     for part in coded.dictionary.to_pylist():
         flat += [number.setdefault(w, len(number)) for w in find(part)]
@@ -172,67 +182,74 @@ def number_pieces(texts, find: Callable[[str], list[str]]) -> tuple[list[str], n
         for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)):
             lists[i] = np.array([number.setdefault(w, len(number)) for w in find(texts[int(i)].as_py())], np.int32)
         at, offsets = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    return list(number), at, offsets
+    return at, offsets
 
 
-def blocks_of(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Rows of some documents each: ids, distinct pieces, and each document's pieces by number.
+def blocks_of(docs: DataFrame, pattern: str, block_bytes: int, most_pieces: int) -> DataFrame:
+    """Rows of some documents each: ids, the pieces that the task has not numbered yet, and each document's pieces by number.
 
-    Pieces of over LONG bytes are set apart in long_pieces; in pieces an empty string stands for each.
+    first is the number of the first new piece; where it is 0, numbers start anew.  Pieces of over LONG bytes are set apart
+    in long_pieces; in pieces an empty string stands for each.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        find = splitter(pattern)
+        find, number = splitter(pattern), {}
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             grown = np.cumsum(pc.binary_length(texts).to_numpy())
             cuts = [0, *(np.flatnonzero(np.diff(grown // block_bytes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                pieces, at, offsets = number_pieces(texts[lo:hi], find)
+                if len(number) >= most_pieces:
+                    number = {}
+                first = len(number)
+                at, offsets = number_pieces(texts[lo:hi], find, number)
+                pieces = list(islice(reversed(number), len(number) - first))[::-1]
                 is_long = [len(w) > LONG // 4 and len(w.encode()) > LONG for w in pieces]
                 long = pa.array([w for w, x in zip(pieces, is_long, strict=True) if x], pa.string())
                 short = pa.array(["" if x else w for w, x in zip(pieces, is_long, strict=True)], pa.string())
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 use = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))
-                yield pa.RecordBatch.from_arrays([one(batch.column(0)[lo:hi]), one(short), one(long), one(use)], names=["doc_ids", "pieces", "long_pieces", "use"])
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), one(batch.column(0)[lo:hi]), one(short), one(long), one(use)], names=["first", "doc_ids", "pieces", "long_pieces", "use"])
 
-    return docs.mapInArrow(run, "doc_ids array<long>, pieces array<string>, long_pieces array<string>, use array<array<int>>")
+    return docs.mapInArrow(run, "first int, doc_ids array<long>, pieces array<string>, long_pieces array<string>, use array<array<int>>")
 
 
-def encode(docs: DataFrame, make_row: Callable, schema: str, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """make_row(doc_id, list of numbers of pieces, ids by piece, decoded bytes by piece, ids spelled by piece) for every document."""
+def encode(docs: DataFrame, make_row: Callable, schema: str, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """make_row(doc_id, list of numbers of pieces, ids by piece, decoded bytes by piece) for every document."""
     import public_tokenizers
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     path, pattern = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     ranks = read_ranks(path)
-    blocks = blocks_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), pattern, block_bytes)
+    blocks = blocks_of(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), pattern, block_bytes, most_pieces)
     single = "".join(token(ranks[bytes([b])]) for b in range(256))
     merges, whole, pieces = merge_map(ranks), hashed({p.decode("latin-1"): r for p, r in ranks.items()}, "int"), piece_literal(ranks)
     blocks = blocks.withColumn("ids", F.transform("pieces", lambda w: fold_merges(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), single, merges, whole)))
-    blocks = blocks.select("doc_ids", "pieces", "long_pieces", "use", "ids", F.transform("ids", lambda x: join_pieces(x, pieces)).alias("bytes"))
-    blocks = blocks.select("doc_ids", F.transform("pieces", lambda w: w == "").alias("is_long"), "long_pieces", "use", "ids", "bytes")
+    blocks = blocks.select("first", "doc_ids", "pieces", "long_pieces", "use", "ids", F.transform("ids", lambda x: join_pieces(x, pieces)).alias("bytes"))
+    blocks = blocks.select("first", "doc_ids", F.transform("pieces", lambda w: w == "").alias("is_long"), "long_pieces", "use", "ids", "bytes")
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        ids, raw = [], []  # by piece: ids in decimal, and bytes
         for batch in batches:
             for block in range(batch.num_rows):
-                doc_ids, is_long, long, use, ids, raw = (c[block].values for c in batch.columns)
-                ids, raw = ids.to_pylist(), raw.to_pylist()
+                if batch.column(0)[block].as_py() == 0:
+                    ids, raw = [], []
+                doc_ids, is_long, long, use, new, new_raw = (c[block].values for c in batch.columns[1:])
+                at = len(ids)
+                ids += [" ".join(map(str, x)) for x in new.to_pylist()]
+                raw += new_raw.to_pylist()
                 for i, w in zip(np.flatnonzero(is_long.to_numpy(zero_copy_only=False)), long.to_pylist(), strict=True):
-                    found = read_ranks(path)
-                    ids[i] = fold_long(w.encode(), found)
-                    by_id = tokens_by_id(path)
-                    raw[i] = b"".join([by_id[x] for x in ids[i]])
-                spelled = [" ".join(map(str, x)) for x in ids]
+                    found, by_id = fold_long(w.encode(), read_ranks(path)), tokens_by_id(path)
+                    ids[at + i], raw[at + i] = " ".join(map(str, found)), b"".join([by_id[x] for x in found])
                 flat, offsets = use.flatten().to_numpy(), use.offsets.to_numpy() - use.offsets[0].as_py()
-                rows = [make_row(doc, flat[a:b].tolist(), ids, raw, spelled) for doc, a, b in zip(doc_ids.to_pylist(), offsets, offsets[1:], strict=False)]
+                rows = [make_row(doc, flat[a:b].tolist(), ids, raw) for doc, a, b in zip(doc_ids.to_pylist(), offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
     return blocks.mapInArrow(run, schema)
@@ -243,13 +260,13 @@ def tokens_by_id(path: str) -> dict[int, bytes]:
     return {v: k for k, v in read_ranks(path).items()}
 
 
-def _ids_row(doc, at, ids, raw, spelled):
-    return doc, [x for i in at for x in ids[i]]
+def _ids_row(doc, at, ids, raw):
+    return doc, [int(x) for i in at for x in ids[i].split()]
 
 
-def _digest_row(doc, at, ids, raw, spelled):
-    n = sum(map(len, map(ids.__getitem__, at)))
-    text = " ".join(map(spelled.__getitem__, at))
+def _digest_row(doc, at, ids, raw):
+    text = " ".join(map(ids.__getitem__, at))
+    n = text.count(" ") + 1 if at else 0
     return doc, n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"".join(map(raw.__getitem__, at))).hexdigest()
 
 

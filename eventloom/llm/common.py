@@ -119,20 +119,27 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 
 
 def components(edges: DataFrame, keep: Scratch) -> DataFrame:
-    """Connected components of edges (a, b): (node, label), the label being the smallest node of each component.
+    """Connected components of edges (a, b): (node, label), the label being a node of each component.
 
-    Labels spread to neighbours and jump to their label's label; every round is staged, so lineage stays short, and goes
-    when the next one is there.  The result is staged in keep.
+    In every round each node takes its smallest neighbour's smallest neighbour, and edges are contracted to those between
+    what is left; so rounds shrink quickly.  Each is staged, so lineage stays short, and goes when the next one is there.
+    The result is staged in keep.
     """
     with Scratch(keep.spark) as scratch:
-        both = scratch.staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-        step = scratch.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.col("node").alias("old"), F.least("node", "m").alias("label")))
-        while not step.where("old <> label").isEmpty():
-            label = step.select("node", "label")
-            near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-            new = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-            jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-            new = scratch.staged(new.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
-            scratch.drop(step)
-            step = new
-        return keep.staged(step.select("node", "label"))
+        left = scratch.staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        label = None
+        while True:
+            low = scratch.staged(left.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m")))
+            far = low.select(F.col("v").alias("m"), F.col("m").alias("f"))
+            to = scratch.staged(low.join(far, "m").select("v", "f"))
+            end = lambda x: to.select(F.col("v").alias(x), F.col("f").alias(f"f{x}"))  # noqa: B023,E731
+            more = scratch.staged(left.join(end("a"), "a").select("b", "fa").distinct().join(end("b"), "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())
+            new = to.select(F.col("v").alias("node"), F.col("f").alias("label"))
+            if label is not None:
+                new = label.join(to, label["label"] == to["v"], "left").select("node", F.coalesce("f", "label").alias("label"))
+            done = more.isEmpty()
+            new = (keep if done else scratch).staged(new)
+            scratch.drop(left, low, to, *([label] if label is not None else []))
+            if done:
+                return new
+            label, left = new, more

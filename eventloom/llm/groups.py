@@ -13,10 +13,13 @@ from .common import Scratch, components
 FEW = 6
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (key, node, size, n) of keyed whose key has n > 1 nodes.  Keys are counted first, without their nodes."""
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(several, "key")
+def shared_keys(keyed: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (key, node, n) of keyed whose key has n > 1 nodes, with size from sizes (node, size).
+
+    Keys are counted first, without their nodes, and only what is shared gets its size.
+    """
+    several = scratch.staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return keyed.join(several, "key").join(sizes, "node").select("key", "node", "size", "n")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -58,8 +61,8 @@ def mixed_nodes(shared: DataFrame, label: DataFrame, few: int = FEW) -> DataFram
     return known.join(mixed, "key", "left_semi")
 
 
-def linked(keyed: DataFrame, similar: Callable, band: Callable, prepare: Callable, rest: Callable, keep: Scratch, few: int = FEW) -> DataFrame:
-    """(node, label) of all nodes with a link, from (key, node, size): nodes that share a key and pass a test are linked.
+def linked(keyed: DataFrame, sizes: DataFrame, similar: Callable, band: Callable, prepare: Callable, rest: Callable, keep: Scratch, few: int = FEW) -> DataFrame:
+    """(node, label) of all nodes with a link, from (key, node) and (node, size): nodes that share a key and pass a test are linked.
 
     similar(sa, sb) is the condition on two columns of sizes without which a pair can't pass, band(size) a number that
     differs by one at most for such sizes.  prepare(nodes, scratch)
@@ -68,7 +71,7 @@ def linked(keyed: DataFrame, similar: Callable, band: Callable, prepare: Callabl
     The result is staged in keep.
     """
     with Scratch(keep.spark) as scratch:
-        shared = scratch.staged(shared_keys(keyed))
+        shared = scratch.staged(shared_keys(keyed, sizes, scratch))
         pairs = scratch.staged(first_pairs(shared, similar, band, few))
         large = shared.where(F.col("n") > few).select("node")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large).distinct()

@@ -291,8 +291,8 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = LEAST_SIMILARITY,
     split = docs.where("text is not null").select("doc_id", raw_hash().alias("raw"), word_hashes().alias("hs"))
     signed = scratch.staged(signatures(split.withColumn("h1", F.xxhash64("hs")), components, bands, size))
     lists = signed.groupBy("h1").agg(F.min("doc_id").alias("id"))
-    keyed = signed.dropDuplicates(["h1"]).select(F.col("h1").alias("node"), "size", F.explode("keys").alias("key"))
-    label = linked(keyed, *tester(docs, signed, least, size), scratch)
+    distinct = scratch.staged(signed.groupBy(F.col("h1").alias("node")).agg(F.first("size").alias("size"), F.first("keys").alias("keys")))
+    label = linked(distinct.select("node", F.explode("keys").alias("key")), distinct.select("node", "size"), *tester(docs, signed, least, size), scratch)
     member = lists.join(label.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "id", F.coalesce("label", "h1").alias("label"))
     first = member.groupBy("label").agg(F.min("id").alias("first_id"))
     return signed, scratch.staged(member.join(first, "label").select("h1", "label", "first_id"))
