@@ -99,16 +99,16 @@ class Scratch:
         self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Applies the function that make() builds once per task to columns of lists, batch by batch."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, at_once: int = 512) -> DataFrame:
+    """Applies the function that make() builds once per task to columns of lists, at_once rows at a time."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         fn = make()
         for batch in batches:
-            if batch.num_rows:
-                got = fn(batch.to_pydict())
+            for at in range(0, batch.num_rows, at_once):
+                got = fn(batch.slice(at, at_once).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in target], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema

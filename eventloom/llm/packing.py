@@ -7,7 +7,7 @@ room, and is cut only where no sequence has room for all of it.  The sequences'
 tokens, so at most one sequence a group is not full.
 
 Cases: a null or empty text has the one token 1.  Very long texts are cut into windows.  Ties in length are packed in
-order of (doc_id, arrival); repeated rows are packed each by itself.  Only the id and text columns are read, so others
+order of (doc_id, arrival), rows without a doc_id last; repeated rows are packed each by itself.  Only the id and text columns are read, so others
 may have any name.  An empty table gives an empty table.
 """
 
@@ -122,7 +122,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pack(docs: list[tuple[int, np.ndarray]], capacity: int, alpha: float, beta: float) -> list[tuple[int, int, int, int, int, float]]:
+def pack(docs: list[tuple[int | None, np.ndarray]], capacity: int, alpha: float, beta: float) -> list[tuple[int, int, int, int, int, float]]:
     """Pieces (index of the document, start, length, sequence, offset, sequence's cost)."""
     cost_of = lambda n: alpha * n + beta * n * n
     pieces: list[list] = []
@@ -139,7 +139,7 @@ def pack(docs: list[tuple[int, np.ndarray]], capacity: int, alpha: float, beta:
             left.append((k, whole * capacity, len(ids) % capacity))
     total = sum(n for *_, n in left)
     if total:
-        left.sort(key=lambda x: (-x[2], docs[x[0]][0], x[0]))
+        left.sort(key=lambda x: (-x[2], docs[x[0]][0] is None, docs[x[0]][0] or 0, x[0]))
         n_seq = -(-total // capacity)
         room = np.full(n_seq, capacity)
         room[-1] = total - capacity * (n_seq - 1)

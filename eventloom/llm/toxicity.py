@@ -15,18 +15,16 @@ name.  An empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, map_arrow, staged, table
+from .common import crc_fold, map_arrow, table
 
-TOKEN = r"\p{L}+"
-_TOKEN = re.compile(r"[^\W\d_]+")
 #: At most so many examples of each label, the first by hash of the id.
 MOST_EXAMPLES = 3000
 NEIGHBOURS = 25
@@ -34,6 +32,18 @@ BLOCK = 64
 CUT = 0.7
 
 
+@cache
+def _find():
+    import regex
+
+    return regex.compile(r"\p{L}+").findall
+
+
+def tokens(text: str | None) -> Counter:
+    """The words of a text, runs of letters in lower case, for examples and queries alike."""
+    return Counter(_find()((text or "").lower()))
+
+
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all spans one after another, and the span that each is of."""
     n = ends - starts
@@ -84,7 +94,7 @@ class BlockMaxIndex:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The indexed words of a text and their weights, by the norm of the whole text."""
-        counts = sorted(Counter(_TOKEN.findall((text or "").lower())).items())
+        counts = tokens(text).items()
         terms = np.array([self.words.get(w, -1) for w, _ in counts], np.int64)
         seen = terms >= 0
         raw = 1 + np.log(np.array([c for _, c in counts], float))
@@ -171,18 +181,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("y = 1").orderBy(*order).limit(most_examples).union(known.where("y = 0").orderBy(*order).limit(most_examples))
     some = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(sample), "doc_id")
-    tokens = staged(some.select("doc_id", "y", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))).alias("w")).groupBy("doc_id", "y", "w").count())
-    examples = {r["doc_id"]: r["y"] for r in some.select("doc_id", "y").distinct().collect()}
+
+    def count(cols):
+        found = [tokens(t) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "y": cols["y"], "w": [list(c) for c in found], "n": [list(c.values()) for c in found]}
+
+    # bounded by the number of examples
+    got = map_arrow(some.select(F.col("doc_id").cast("long"), "y", "text"), lambda: count, "doc_id long, y int, w array<string>, n array<int>").toArrow()
+    examples = dict(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), strict=True))
     n1 = sum(examples.values())
     n0 = len(examples) - n1
     if not n0 or not n1:
         total = sum(size.values())
         return ToxicityModel(None, {0: 1.0, 1: 1.0}, (size.get(1, 0) + 1) / (total + 2))
-    got = tokens.select("doc_id", "w", "count").toArrow()
-    words, word = np.unique(got["w"].to_numpy().astype(str), return_inverse=True)
     ids = sorted(examples)
-    example = np.searchsorted(np.array(ids, np.int64), got["doc_id"].to_numpy())
-    index = BlockMaxIndex.build(words.tolist(), example, word, got["count"].to_numpy().astype(float), [examples[i] for i in ids], ids)
+    lists = got["w"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    example = np.repeat(np.searchsorted(np.array(ids, np.int64), got["doc_id"].to_numpy()), np.diff(lists.offsets.to_numpy()))
+    # rows of one doc_id are one example
+    cell, at = np.unique(example * max(len(words), 1) + coded.indices.to_numpy(), return_inverse=True)
+    counts = np.bincount(at, got["n"].combine_chunks().flatten().to_numpy().astype(float), len(cell))
+    index = BlockMaxIndex.build(words, cell // max(len(words), 1), cell % max(len(words), 1), counts, [examples[i] for i in ids], ids)
     model = ToxicityModel(index, {0: size[0] / n0, 1: size[1] / n1}, k=k)
     votes, ys, empty = [], [], [1e-9, 1e-9]
     for at, i in enumerate(ids):

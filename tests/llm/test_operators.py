@@ -254,17 +254,197 @@ def test_pipeline_stages(spark, sf_dir, texts):
 
 
 def test_line_simhash(spark):
-    """The lane sums against bits counted one by one, for short, long and very long lines."""
-    from pyspark.sql import functions as F
+    """SimHashes by blocks against votes counted one by one, with lane sums and with a sum for each bit."""
+    from eventloom.llm.line_dedup import BLOCKS, WIDTH, line_features, lines_of
+
+    texts = [" ".join(f"w{i % 97}" for i in range(300)), " ".join(f"w{i * i % 1013}" for i in range(20000)), "a b\tc  d e f\n\nshort", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = lines_of(docs, 5).withColumn("rid", F.xxhash64("doc_id", "raw", "line")).cache()
+    hashes = {r["h1"]: [x % 2**64 for x in r["hs"]] for r in lines.select("h1", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("hs")).collect()}
+    assert sorted(map(len, hashes.values())) == [6, 300, 20000]
+    want = {}
+    for k, hs in hashes.items():
+        of = [[x for x in hs if x >> 62 == b] for b in range(BLOCKS)]
+        want[k] = sum(1 << p for p in range(64) if 2 * sum(x >> p & 1 for x in of[p // WIDTH]) > len(of[p // WIDTH]))
+    for wide in (False, True):
+        assert {r["h1"]: r["sim"] % 2**64 for r in line_features(lines, wide).collect()} == want
+
+
+@pytest.mark.parametrize("words", [8, 12, 20, 40, 80])
+def test_one_word_edits_of_lines_are_found(spark, words):
+    import random
+
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    rows = []
+    for k in range(50):
+        line = [word() for _ in range(words)]
+        other = list(line)
+        other[rng.randrange(words)] = word()
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.removed_lines for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def similarity(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return 1 - last[-1] / max(len(a), len(b))
+
+    near = [similarity(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(50)]
+    found = [got[2 * k + 1] == [0] for k in range(50)]
+    assert not any(f and not n for f, n in zip(found, near, strict=True))
+    assert sum(found) >= 0.9 * sum(near)
+
+
+def test_a_group_of_edited_copies_without_their_original(spark):
+    """Classes equal those of all pairs, where most pairs of the group are not similar enough."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), 3):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    top = {i: i for i in texts}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    true = 0
+    for i in texts:
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                true += 1
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert 0 < true < 120 * 119 // 4 and got == {i: root(i) for i in texts}
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Rows are judged by their own texts: nothing of another row's text is removed, and no personal data stays."""
+    rows = [(None, "mail joe@example.org now"), (5, "aaaaaaaaaa and more words here"), (5, "to joe@example.org and back"), (None, "mail ann@example.org now"), (7, "one two three four five six\nseven eight nine ten eleven twelve"), (7, "other words that stand alone here\nseven eight nine ten eleven twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in redact(docs).collect()) == sorted(re.sub(r"\w+@example.org", "[email]", t) for _, t in rows)
+    lines = {(r.doc_id, r.text, tuple(r.removed_lines)) for r in dedup_lines(docs).collect()}
+    assert len(lines) == 6 and sum(len(x[2]) for x in lines) == 1
+    tied = spark.createDataFrame([(None, "alpha beta gamma"), (3, "delta beta gamma"), (None, "gamma beta gamma")], "doc_id long, text string")
+    assert len({(r.doc_id, r.doc_tokens, r.offset) for r in pack_sequences(tied.coalesce(1)).collect()}) == 3
+    copies = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (2, "x y z"), (2, "x y z"), (3, "x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in drop_near_duplicates(copies).collect()) == [(0, "a b c d e f"), (2, "x y z")]
+
+
+def test_random_strings_are_told_from_identifiers(spark):
+    import random
+    import string
+
+    rng = random.Random(11)
+    secrets = ["".join(rng.choice(a) for _ in range(rng.randint(16, 40))) for a in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/") for _ in range(75)]
+    parts = "fetch remote customer ledger balance compute weighted average shipping rate normalise unicode string legacy parser tokens open archive member reader".split()
+    plain = ["_".join(rng.sample(parts, 4)) for _ in range(100)] + ["".join(x.capitalize() for x in rng.sample(parts, 4)) for _ in range(100)] + ["/".join(rng.sample(parts, 4)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, f"value is {s} there") for i, s in enumerate(secrets + plain)], "doc_id long, text string")
+    found = {r.doc_id for r in scan(docs).collect() if r.extra or r.base}
+    assert len([i for i in found if i < 300]) >= 270 and len([i for i in found if i < 300]) >= 0.9 * len(found)
 
-    from eventloom.llm.line_dedup import lines_of, with_simhash
 
-    texts = [" ".join(f"w{i % 97}" for i in range(300)), " ".join(f"w{i * i % 1013}" for i in range(40000)), "a b\tc  d e f\n\nshort", None, ""]
-    lines = lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
-    hashes = {r["doc_id"]: [x % 2**64 for x in r["hs"]] for r in lines.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hs")).collect()}
-    got = {r["doc_id"]: r["sim"] % 2**64 for r in with_simhash(lines).collect()}
-    assert got == {k: sum(1 << p for p in range(64) if 2 * sum(x >> p & 1 for x in h) > len(h)) for k, h in hashes.items()}
-    assert {k: len(h) for k, h in hashes.items()} == {0: 300, 1: 40000, 2: 6}
+def test_contexts_have_recall_and_precision(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: rng.choice("alpha river stone window garden letter simple motor".split())
+    rows = [(i, f"{word()} {word()} reach me at user{i}@mail{i % 7}.example.org thanks {word()}") for i in range(60)]
+    ids = {100 + i: f"ACC-{rng.randrange(10**7, 10**8)}" + "0" * (i % 2) * 70 for i in range(50)}
+    rows += [(k, f"{word()} reach me at {v} thanks {word()}") for k, v in ids.items()]
+    rows += [(200 + i, f"{word()} {word()} part {rng.randrange(10**5, 10**6)}-{i} of the {word()}") for i in range(50)]
+    got = {r.doc_id: r.extra for r in detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    hits = {k for k in ids if any(text[k][x.s : x.e] == ids[k] for x in got[k])}
+    assert len(hits) >= 45 and sum(len(x) for x in got.values()) <= len(hits) / 0.9
+
+
+def test_toxicity_neighbours_are_those_of_all_cosines(spark):
+    import math
+
+    from eventloom.llm.toxicity import tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = fit_toxicity(docs, labels, k=5)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bags = {i: tokens(texts[i]) for i in model.index.doc_ids.tolist()}
+    n, df = len(bags), Counter(w for b in bags.values() for w in b)
+
+    def vector(bag):
+        v = {w: (1 + math.log(c)) * (math.log((n + 1) / (df[w] + 1)) + 1) for w, c in bag.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    known = [vector(b) for b in bags.values()]
+    for t in list(texts.values())[:60]:
+        q = vector(tokens(t))
+        all_ = sorted((-round(sum(x * v.get(w, 0) for w, x in q.items()), 9), k) for k, v in enumerate(known))[:5]
+        ids, cosines = model.index.nearest(model.index.vector(t), 5)
+        assert [-s for s, _ in all_ if s < 0] == pytest.approx(cosines.tolist(), abs=1e-7)
+
+
+def test_bin_tables_add_up(spark):
+    import numpy as np
+
+    from eventloom.llm.quality_gam import fit_gam
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model = fit_gam(x, y)
+    for row in x[:50]:
+        bins = [int(np.searchsorted(e, v, side="right")) for e, v in zip(model.edges, row, strict=True)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), t in model.pairs.items())
+        assert abs(model.score(row[None, :])[0] - 1 / (1 + np.exp(-total))) < 1e-9
+    assert np.mean((model.score(x) > 0.5) == y) > 0.9
+
+
+def test_ratio_of_quality_rules(spark):
+    """The score is the mean log ratio of hashed unigrams and bigrams, counted here one by one."""
+    import math
+
+    from eventloom.llm.quality_rules import fit_ratio
+
+    rows = [(1, "a b a c"), (2, "a c c"), (3, None), (4, "d e f a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = docs.where("doc_id in (1, 4)")
+    ratio = fit_ratio(docs, trusted, buckets=64)
+    hash_ = {w: spark.sql(f"select xxhash64('{w}') h").first().h for w in "abcdef"}
+
+    def grams(t):
+        w = (t or "").split()
+        pairs = [spark.sql(f"select pmod(xxhash64({hash_[x]}L, {hash_[y]}L), 64) h").first().h for x, y in zip(w, w[1:], strict=False)]
+        return [hash_[x] % 64 for x in w] + pairs
+
+    raw, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i in (1, 4) for g in grams(t))
+    want = [math.log((target[b] + 1) / (target.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64)) for b in range(64)]
+    assert all(abs(a - b) < 1e-5 for a, b in zip(ratio, want, strict=True))
+
+
+def test_ranks_above_the_surrogates(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) + (30_000 if int(b) >= 256 else 0) for a, b in map(bytes.split, f)}
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {1: "a" * 3000 + " and unbelievably " + "xyz" * 400, 2: "naïve 😀 text " * 30, 3: None, 4: "\x1e marked \x1e"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for r in encode_documents(docs, vocabulary=str(tmp_path / "ranks"), block_bytes=400, most_pieces=10).collect():
+        assert r.ids == own.encode_ordinary(texts[r.doc_id] or "")
 
 
 def test_changed_words_of_lines_are_found(spark):
