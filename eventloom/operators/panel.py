@@ -11,7 +11,7 @@ from ..functions import lenient_date
 
 REQUIRED = ("document_score", "lmmd_net", "pos_rate", "neg_rate")
 #: Columns that the merged panel doesn't carry.
-UNWANTED = ("filename_x", "filename_y", "edinet_code_x", "edinet_code_y", "token_count", "pos_count", "neg_count", "status", "status_x", "status_y")
+UNWANTED = ("filename_x", "filename_y", "edinet_code_x", "edinet_code_y", "filing_date_parsed", "status", "token_count", "pos_count", "neg_count")
 
 
 def with_date(df: DataFrame, date: str = "filing_date", legacy: str = "filing_date_parsed") -> DataFrame:

@@ -27,9 +27,12 @@ def zscore(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> Da
     return out.drop(*(f"__{k}_{c}" for c in columns for k in "ms"))
 
 
-def cluster_ols(df: DataFrame, y: str, x: str, cluster: str, by: Sequence[str] = (), small_sample: bool = True) -> DataFrame:
+def cluster_ols(df: DataFrame, y: str, x: str, cluster: str, by: Sequence[str] = (), small_sample: bool = True, standardise: bool = False) -> DataFrame:
     """(by..., nobs, clusters, beta, se_cluster, r2): one regressor and a constant per group, errors clustered.
 
+    standardise gives the figures of x as a population z-score in its group, without a second pass: a linear map of x only
+    scales the slope and its error.
+
     All in SQL aggregates: moments per group, then scores per cluster.  Without variance of x, or with one cluster, beta
     and se are null.
     """
@@ -51,17 +54,17 @@ def cluster_ols(df: DataFrame, y: str, x: str, cluster: str, by: Sequence[str] =
     factor = g / (g - 1) * (n - 1) / (n - 2) if small_sample else F.lit(1.0)
     syy = F.col("t_yy") - F.col("t_y") ** 2 / n
     fits = (F.col("g") > 1) & (F.col("t_n") > 2)
+    scale = F.sqrt(F.col("sxx") / n) if standardise else F.lit(1.0)
     return meat.select(
-        *by, F.col("t_n").alias("nobs"), F.col("g").alias("clusters"), F.col("b").alias("beta"),
-        F.when(fits, F.sqrt(F.col("meat") * F.when(fits, factor)) / F.col("sxx")).alias("se_cluster"),
+        *by, F.col("t_n").alias("nobs"), F.col("g").alias("clusters"), (F.col("b") * scale).alias("beta"),
+        F.when(fits, F.sqrt(F.col("meat") * F.when(fits, factor)) / F.col("sxx") * scale).alias("se_cluster"),
         F.when(syy > 0, F.col("b") ** 2 * F.col("sxx") / F.when(syy > 0, syy)).alias("r2"),
     )
 
 
 def regression_summary(df: DataFrame, y: str, x: str, cluster: str, name: str, by: Sequence[str] = ("window_start", "window_end")) -> DataFrame:
     """Rows (sentiment_col, by..., nobs, beta, se_cluster, p_value, r2), sorted; x is standardised per group first."""
-    df = df.withColumns({"__y": lenient_double(F.col(y)), "__s": lenient_double(F.col(x))}).na.drop(subset=[cluster, "__y", "__s"])
-    fit = cluster_ols(zscore(df, {"__s": "__z"}, by), "__y", "__z", cluster, by)
+    fit = cluster_ols(df, y, x, cluster, by, standardise=True)
     rows = [(name, *(r[b] for b in by), r["nobs"], r["beta"], r["se_cluster"], normal_p(r["beta"] / r["se_cluster"]) if r["se_cluster"] else None, r["r2"]) for r in fit.orderBy(*by).collect()]
     kinds = {f.name: f.dataType.simpleString() for f in fit.schema}
     return df.sparkSession.createDataFrame(rows, f"sentiment_col string, {', '.join(f'{b} {kinds[b]}' for b in by)}, nobs long, beta double, se_cluster double, p_value double, r2 double")

@@ -336,13 +336,15 @@ fit{tag} AS (SELECT f.lo, f.hi, n, g, b, r2, sqrt(meat * g / (g - 1) * (n - 1) /
 @query(f"WITH {CAR}, base AS (SELECT *, score AS measure FROM car), {_ols_sql('measure')} SELECT lo AS window_start, hi AS window_end, n AS nobs, g AS clusters, round(b, 6) + 0.0 AS beta, round(se, 6) + 0.0 AS se_cluster, round(b / se, 5) + 0.0 AS z, round(r2, 8) + 0.0 AS r2 FROM fit")
 def cluster_ols(spark, d):
     by = ["window_start", "window_end"]
-    fit = regression.cluster_ols(regression.zscore(_car(spark, d), {"Sentiment": "z"}, by), "CAR", "z", "Ticker", by)
+    fit = regression.cluster_ols(_car(spark, d), "CAR", "Sentiment", "Ticker", by, standardise=True)
     return fit.select(*by, "nobs", "clusters", rd("beta").alias("beta"), rd("se_cluster").alias("se_cluster"), rd(F.col("beta") / F.col("se_cluster"), 5).alias("z"), rd("r2", 8).alias("r2"))
 
 
-@query()
+@query(f"WITH {CAR}, base AS (SELECT *, score AS measure FROM car), {_ols_sql('measure')} SELECT 'document_score' AS sentiment_col, lo AS window_start, hi AS window_end, n AS nobs, round(b, 6) + 0.0 AS beta, round(se, 6) + 0.0 AS se_cluster, round(r2, 8) + 0.0 AS r2 FROM fit")
 def regression_summary(spark, d):
-    return regression.regression_summary(_car(spark, d), "CAR", "Sentiment", "Ticker", "document_score")
+    """Without the p-value, which SQL has no function for; tests hold it against erfc."""
+    out = regression.regression_summary(_car(spark, d), "CAR", "Sentiment", "Ticker", "document_score")
+    return out.select("sentiment_col", "window_start", "window_end", "nobs", rd("beta").alias("beta"), rd("se_cluster").alias("se_cluster"), rd("r2", 8).alias("r2"))
 
 
 def _horse_inputs(spark, d):

@@ -47,11 +47,11 @@ class Download:
 
 
 def download(url: str, path: str | Path, label: str = "", timeout: float = 60, retries: int = 3, backoff: float = 1.5, agent: str = "eventloom", opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> Download:
-    """Fetches a file by way of a .part file, with growing pauses between attempts."""
+    """Fetches a file by way of a .part file; retries is how often it is tried again, after pauses that double each time."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(path.name + ".part")
-    for attempt in range(1, retries + 1):
+    for attempt in range(max(retries, 0) + 1):
         try:
             with opener(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as source, open(part, "wb") as out:
                 shutil.copyfileobj(source, out)
@@ -59,10 +59,9 @@ def download(url: str, path: str | Path, label: str = "", timeout: float = 60, r
             return Download(label, url, str(path), path.stat().st_size, sha256_file(path), datetime.now(timezone.utc).isoformat())
         except OSError as e:
             part.unlink(missing_ok=True)
-            if attempt == retries:
-                raise RuntimeError(f"{url} failed {retries} times") from e
-            sleep(backoff**attempt)
-    raise ValueError("retries must be positive")
+            failed = e
+            sleep(backoff * 2**attempt)
+    raise RuntimeError(f"{url} failed {max(retries, 0) + 1} times") from failed
 
 
 def write_alias(source: str | Path, alias: str | Path, overwrite: bool = True) -> None:

@@ -39,24 +39,30 @@ def read_typed_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return df.select(*(cast(c) for c in df.columns))
 
 
-def read_codelist(spark: SparkSession, path: str, charset: str = "windows-31j") -> tuple[list[str], DataFrame]:
+def read_codelist(spark: SparkSession, path: str, charset: str = "cp932") -> tuple[list[str], DataFrame]:
     """A code list: its first line (about the file) split at commas, and the table that starts at line 2.
 
-    The last column is a nullable long, the others strings; undecodable bytes are replaced.  Code lists are small, so a
-    file is decoded as one value.
+    The last column is a nullable long, the others strings; undecodable bytes are replaced, and a quoted value may span
+    lines.  Code lists are small, so a file is parsed as one value; a row that lacks columns has nulls there.
     """
-    text = F.decode(F.col("content"), charset)
-    lines = spark.read.format("binaryFile").load(require_path(spark, path)).select(F.split(text, "\r?\n").alias("lines"))
-    head = lines.select(F.get("lines", 0).alias("a"), F.get("lines", 1).alias("b")).first()
-    about = [x.strip('"') for x in head["a"].split(",")]
-    rows = lines.select(F.explode(F.slice("lines", F.lit(3), F.size("lines"))).alias("value")).where("value <> ''")
-    import csv
-
-    names = next(csv.reader([head["b"]]))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    parsed = rows.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"quote": '"'}).alias("r"))
+
+    def parse(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = [r for r in csv.reader(io.StringIO(content.decode(charset, errors="replace"), newline="")) if r]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["i", "r"])
+
+    raw = spark.read.format("binaryFile").load(require_path(spark, path)).select("content").mapInArrow(parse, "i int, r array<string>")
+    head = {r["i"]: r["r"] for r in raw.where("i < 2").collect()}
+    names = head[1]
     last = len(names) - 1
-    return about, parsed.select(*(F.col(f"r.c{i}").try_cast("long" if i == last else "string").alias(n) for i, n in enumerate(names)))
+    value = lambda i: F.get("r", F.lit(i)).try_cast("long") if i == last else F.get("r", F.lit(i))
+    return head[0], raw.where("i > 1").select(*(value(i).alias(n) for i, n in enumerate(names)))
 
 
 def read_data_files(spark: SparkSession, path: str, prefix: str, replacement: str) -> DataFrame:
@@ -77,5 +83,5 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
     """Nested analyses, one JSON object per file, with the file's stem as doc."""
-    df = spark.read.schema(schemas.ANALYSIS).option("multiLine", True).json(path)
+    df = spark.read.schema(schemas.ANALYSIS).option("multiLine", True).json(require_path(spark, path))
     return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("doc"), "mdna_found", "document_score", "chunks")
