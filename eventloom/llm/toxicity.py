@@ -1,9 +1,12 @@
 """Operator 4: toxicity by the nearest labelled examples.
 
 A bounded, documented sample of labelled documents is indexed by TF-IDF over all their words, and norms are those of whole
-texts: a word that no example has counts as one of no document.  The inverted index is cut into blocks of examples with the largest weight of each word per block (block-max); a document
-visits blocks in order of their upper bounds and stops when no bound can reach its k-th best cosine, so the neighbours
-are exact.  Their votes, weighted by distance, are calibrated on the examples themselves, each left out of its own vote.
+texts: a word that no example has counts as one of no document.  Postings of rarer words are added up example by example.
+Those of common words are cut into blocks of examples with the largest weight of each word per block (block-max); a text
+visits its best blocks first and then every block whose bound, by these and by the sums so far, reaches its k-th best
+cosine, so the neighbours are exact.  Texts are scored some at a time, and a block's postings of common words, which are
+nearly full, are multiplied as a matrix.  Votes of the neighbours, weighted by distance, are calibrated on the examples
+themselves, each left out of its own vote.
 
 Cases: a null or empty text, or one without an indexed word, has no neighbours and gets the calibrated share of label 1
 among examples of that kind.  Ties go to the example with the smaller number.  Very long texts are whole.  Repeated rows
@@ -16,32 +19,53 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
-from functools import cache
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, map_arrow, table
+from .common import crc_fold, table
 
 #: At most so many examples of each label, the first by hash of the id.
 MOST_EXAMPLES = 3000
 NEIGHBOURS = 25
 BLOCK = 64
 CUT = 0.7
+#: A word is common if one example in so many has it.
+COMMON = 24
+#: Blocks that a text visits before it has a k-th best cosine.
+FIRST_BLOCKS = 8
+#: At most so many texts at a time, and fewer where they have more postings together than this or more bytes.
+TEXTS = 128
+POSTINGS = 2_000_000
+BATCH_BYTES = 4_000_000
 
 
-@cache
-def _find():
-    import regex
+def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
+    """The words of an Arrow array of texts, runs of letters in lower case, for examples and queries alike.
 
-    return regex.compile(r"\p{L}+").findall
+    Three arrays (text, word, count), by text and word, and the distinct words as an Arrow array.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), r"\P{L}+")
+    coded = parts.flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    n = max(len(words), 1)
+    cell, count = np.unique((row * n + code)[pc.not_equal(words, "").to_numpy(zero_copy_only=False)[code]], return_counts=True) if len(words) else (np.zeros(0, np.int64),) * 2
+    return cell // n, cell % n, count, words
 
 
 def tokens(text: str | None) -> Counter:
-    """The words of a text, runs of letters in lower case, for examples and queries alike."""
-    return Counter(_find()((text or "").lower()))
+    """The words of one text."""
+    import pyarrow as pa
+
+    _, word, count, words = words_of(pa.array([text], pa.string()))
+    return Counter(dict(zip(words.take(pa.array(word)).to_pylist(), count.tolist(), strict=True)))
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,91 +74,132 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), np.repeat(np.arange(len(n)), n)
 
 
+@dataclass
+class Vectors:
+    """Indexed words of some texts and their weights, by the norms of the whole texts; those of text i from indptr[i]."""
+
+    indptr: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    def part(self, lo: int, hi: int) -> Vectors:
+        at = slice(self.indptr[lo], self.indptr[hi])
+        return Vectors(self.indptr[lo : hi + 1] - self.indptr[lo], self.terms[at], self.values[at])
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings of each word in order of examples, cut into blocks of BLOCK examples, with their largest weights.
+    """Postings of each word in order of examples.
 
-    Only blocks that have the word are held: word t has the cells cells[t] to cells[t + 1].
+    Those of a common word are a column of full, a row per example, and tops has its largest weight in each block.
     """
 
-    words: dict[str, int]
+    words: object  # an Arrow array
     idf: np.ndarray
     unseen: float
     labels: np.ndarray
     doc_ids: np.ndarray
-    indptr: np.ndarray  # by example: where its words start in terms and values
-    terms: np.ndarray
-    values: np.ndarray
+    examples: Vectors | None
+    starts: np.ndarray  # by word: its postings, none of a common word
     ids: np.ndarray  # by posting
     weights: np.ndarray
-    cells: np.ndarray
-    blocks: np.ndarray  # by cell
-    starts: np.ndarray  # by cell, and the end of the last
+    column: np.ndarray  # by word: its column of full, or -1
+    full: np.ndarray
     tops: np.ndarray
 
     @classmethod
-    def build(cls, words: list[str], example: np.ndarray, word: np.ndarray, count: np.ndarray, labels, doc_ids) -> BlockMaxIndex:
+    def build(cls, words, example: np.ndarray, word: np.ndarray, count: np.ndarray, labels, doc_ids) -> BlockMaxIndex:
         """example, word, count: the examples' numbers, their words' numbers and how often they have them."""
         n = len(labels)
-        idf = np.log((n + 1) / (np.bincount(word, minlength=len(words)) + 1)) + 1
+        df = np.bincount(word, minlength=len(words))
+        idf = np.log((n + 1) / (df + 1)) + 1
         by = np.lexsort((word, example))
         example, word = example[by], word[by]
         raw = (1 + np.log(count[by])) * idf[word]
         values = raw / np.sqrt(np.bincount(example, raw * raw, n))[example]
         indptr = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))])
+        is_common = df * COMMON >= n
+        column = np.where(is_common, np.cumsum(is_common) - 1, -1)
+        full = np.zeros((n, int(is_common.sum())))
+        here = is_common[word]
+        full[example[here], column[word[here]]] = values[here]
+        tops = np.maximum.reduceat(full, np.arange(0, n, BLOCK), axis=0)
         by = np.lexsort((example, word))
-        ids, of, weights = example[by], word[by], values[by]
-        new = np.ones(len(ids), bool)
-        new[1:] = (of[1:] != of[:-1]) | (ids[1:] // BLOCK != ids[:-1] // BLOCK)
-        first = np.flatnonzero(new)
-        tops = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
-        cells = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(words)))])
-        numbers = {w: i for i, w in enumerate(words)}
-        return cls(numbers, idf, math.log(n + 1) + 1, np.array(labels, int), np.array(doc_ids, np.int64), indptr, word, values, ids, weights, cells, ids[first] // BLOCK, np.append(first, len(ids)), tops)
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The indexed words of a text and their weights, by the norm of the whole text."""
-        counts = tokens(text).items()
-        terms = np.array([self.words.get(w, -1) for w, _ in counts], np.int64)
-        seen = terms >= 0
-        raw = 1 + np.log(np.array([c for _, c in counts], float))
-        raw[seen] *= self.idf[terms[seen]]
-        raw[~seen] *= self.unseen
-        return terms[seen], raw[seen] / math.sqrt((raw * raw).sum() or 1.0)
-
-    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        at = slice(self.indptr[i], self.indptr[i + 1])
-        return self.terms[at], self.values[at]
-
-    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosines, largest first, and these cosines.
-
-        Blocks are visited in order of their bounds, twice as many each time.
-        """
-        terms, q = query
-        found_i, found_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        if not len(terms):
-            return found_i, found_s
-        n = -(-len(self.labels) // BLOCK)
-        cell, which = spans(self.cells[terms], self.cells[terms + 1])
-        bound = np.bincount(self.blocks[cell], q[which] * self.tops[cell], n)
-        order, at, step = np.argsort(-bound, kind="stable"), 0, 4
-        while at < n and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
-            visited = np.zeros(n, bool)
-            visited[order[at : at + step]] = True
-            at, step = at + step, 2 * step
-            here = visited[self.blocks[cell]]
-            post, of = spans(self.starts[cell[here]], self.starts[cell[here] + 1])
-            got = np.bincount(self.ids[post], q[which[here]][of] * self.weights[post], len(self.labels))
-            new = np.flatnonzero(got > 0)
-            new = new[new != without]
-            found_i, found_s = np.concatenate([found_i, new]), np.round(np.concatenate([found_s, got[new]]), 12)
-            if len(found_i) > k:
-                best = np.lexsort((found_i, -found_s))[:k]
-                found_i, found_s = found_i[best], found_s[best]
-                least = found_s[-1]
-        best = np.lexsort((found_i, -found_s))[:k]
-        return found_i[best], found_s[best]
+        by = by[~here[by]]
+        starts = np.concatenate([[0], np.cumsum(np.where(is_common, 0, df))])
+        return cls(words, idf, math.log(n + 1) + 1, np.array(labels, int), np.array(doc_ids, np.int64), Vectors(indptr, word, values), starts, example[by].astype(np.int32), values[by], column, full, tops)
+
+    def vectors(self, texts) -> Vectors:
+        """Those of an Arrow array of texts."""
+        import pyarrow.compute as pc
+
+        row, word, count, words = words_of(texts)
+        number = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        term = number[word]
+        seen = term >= 0
+        raw = 1 + np.log(count)
+        raw *= np.where(seen, self.idf[term] if len(self.idf) else 0, self.unseen)
+        values = raw / np.sqrt(np.bincount(row, raw * raw, len(texts)))[row]
+        return Vectors(np.concatenate([[0], np.cumsum(np.bincount(row[seen], minlength=len(texts)))]), term[seen], values[seen])
+
+    def vector(self, text: str | None) -> Vectors:
+        import pyarrow as pa
+
+        return self.vectors(pa.array([text], pa.string()))
+
+    def nearest(self, query: Vectors, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest positive cosines with one text, largest first, and these cosines."""
+        _, ids, cosines = self.search(query, k, np.array([without]))
+        return ids, cosines
+
+    def search(self, queries: Vectors, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k examples nearest to each text, by text and falling cosine; without: an example
+        that a text is not compared with, or -1."""
+        n = len(queries.indptr) - 1
+        work = np.concatenate([[0], np.cumsum(self.starts[queries.terms + 1] - self.starts[queries.terms])])[queries.indptr]
+        found, lo = [], 0
+        while lo < n:
+            hi = max(lo + 1, min(lo + TEXTS, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1))
+            row, ids, cosines = self._search(queries.part(lo, hi), k, None if without is None else without[lo:hi])
+            found.append((row + lo, ids, cosines))
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _search(self, queries: Vectors, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, size = len(queries.indptr) - 1, len(self.labels)
+        row, column = np.repeat(np.arange(n), np.diff(queries.indptr)), self.column[queries.terms]
+        common = column >= 0
+        q = np.zeros((n, self.full.shape[1]))
+        q[row[common], column[common]] = queries.values[common]
+        rare = queries.terms[~common]
+        post, of = spans(self.starts[rare], self.starts[rare + 1])
+        sums = np.bincount((row[~common] * size)[of] + self.ids[post], queries.values[~common][of] * self.weights[post], n * size).reshape(n, size)
+        first = np.arange(0, size, BLOCK)
+        bound = np.maximum.reduceat(sums, first, axis=1) + q @ self.tops.T
+        cosines = np.zeros((n, size))
+
+        def visit(chosen: np.ndarray) -> None:
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                rows, at = np.flatnonzero(chosen[:, b]), slice(first[b], first[b] + BLOCK)
+                cosines[rows, at] = np.round(sums[rows, at] + q[rows] @ self.full[at].T, 12)
+            if without is not None:
+                left_out = np.flatnonzero(without >= 0)
+                cosines[left_out, without[left_out]] = 0
+
+        def kth() -> np.ndarray:
+            return np.partition(cosines, size - k, axis=1)[:, size - k, None] if k < size else np.zeros((n, 1))
+
+        visited = np.zeros(bound.shape, bool)
+        np.put_along_axis(visited, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        visited &= bound > 0
+        visit(visited)
+        visit((bound > 0) & (bound >= kth() - 1e-9) & ~visited)
+        row, ids = np.nonzero((cosines > 0) & (cosines >= kth()))
+        found = cosines[row, ids]
+        by = np.lexsort((ids, -found, row))
+        row, ids, found = row[by], ids[by], found[by]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[best], ids[best], found[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,23 +220,41 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 @dataclass
 class ToxicityModel:
     index: BlockMaxIndex | None
-    prior: dict[int, float]  # how many labelled documents an example of each label stands for
+    prior: tuple[float, float]  # how many labelled documents an example of each label stands for
     none: float = 0.5
     knots: tuple[np.ndarray, np.ndarray] | None = None
     k: int = NEIGHBOURS
 
-    def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        weight = np.array([self.prior[x] for x in self.index.labels[ids]]) / (1.05 - cosines)
-        return float((weight * self.index.labels[ids]).sum() / weight.sum())
+    def votes(self, n: int, row: np.ndarray, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """The weighted share of label 1 among each text's neighbours; not a number without any."""
+        y = self.index.labels[ids]
+        weight = np.array(self.prior)[y] / (1.05 - cosines)
+        with np.errstate(invalid="ignore"):
+            return np.bincount(row, weight * y, n) / np.bincount(row, weight, n)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The calibrated score, and the evidence: the examples' doc_ids and cosines."""
+    def score(self, texts) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """The calibrated scores of an Arrow array of texts, and the evidence: the examples' doc_ids and cosines."""
+        n = len(texts)
         if self.index is None:
-            return self.none, [], []
-        ids, cosines = self.index.nearest(self.index.vector(text), self.k)
-        if not len(ids):
-            return self.none, [], []
-        return float(np.interp(self.vote(ids, cosines), *self.knots)), self.index.doc_ids[ids[:5]].tolist(), cosines[:5].round(6).tolist()
+            return np.full(n, self.none), [[]] * n, [[]] * n
+        row, ids, cosines = self.index.search(self.index.vectors(texts), self.k)
+        votes = self.votes(n, row, ids, cosines)
+        scores = np.where(np.isnan(votes), self.none, np.interp(votes, *self.knots))
+        ends = np.searchsorted(row, np.arange(n + 1))
+        parts = [slice(a, min(b, a + 5)) for a, b in zip(ends, ends[1:], strict=False)]
+        return scores, [self.index.doc_ids[ids[x]].tolist() for x in parts], [cosines[x].round(6).tolist() for x in parts]
+
+
+def byte_slices(texts, most_rows: int = 4 * TEXTS, most_bytes: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts of an Arrow array of texts, of some bytes or one text each."""
+    import pyarrow.compute as pc
+
+    grown = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, min(lo + most_rows, int(np.searchsorted(grown, grown[lo] + most_bytes, "right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
@@ -182,56 +265,59 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
     sample = known.where("y = 1").orderBy(*order).limit(most_examples).union(known.where("y = 0").orderBy(*order).limit(most_examples))
     some = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(sample), "doc_id")
 
-    def count(cols):
-        found = [tokens(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "y": cols["y"], "w": [list(c) for c in found], "n": [list(c.values()) for c in found]}
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(2)):
+                row, word, n, words = words_of(batch.column(2)[lo:hi])
+                ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (words.take(pa.array(word)).cast(pa.string()), pa.array(n.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *lists], names=["doc_id", "y", "w", "n"])
 
     # bounded by the number of examples
-    got = map_arrow(some.select(F.col("doc_id").cast("long"), "y", "text"), lambda: count, "doc_id long, y int, w array<string>, n array<int>").toArrow()
+    got = some.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(count, "doc_id long, y int, w array<string>, n array<int>").toArrow()
     examples = dict(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), strict=True))
     n1 = sum(examples.values())
     n0 = len(examples) - n1
     if not n0 or not n1:
         total = sum(size.values())
-        return ToxicityModel(None, {0: 1.0, 1: 1.0}, (size.get(1, 0) + 1) / (total + 2))
+        return ToxicityModel(None, (1.0, 1.0), (size.get(1, 0) + 1) / (total + 2))
     ids = sorted(examples)
     lists = got["w"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    n_words = max(len(coded.dictionary), 1)
     example = np.repeat(np.searchsorted(np.array(ids, np.int64), got["doc_id"].to_numpy()), np.diff(lists.offsets.to_numpy()))
     # rows of one doc_id are one example
-    cell, at = np.unique(example * max(len(words), 1) + coded.indices.to_numpy(), return_inverse=True)
+    cell, at = np.unique(example * n_words + coded.indices.to_numpy(), return_inverse=True)
     counts = np.bincount(at, got["n"].combine_chunks().flatten().to_numpy().astype(float), len(cell))
-    index = BlockMaxIndex.build(words, cell // max(len(words), 1), cell % max(len(words), 1), counts, [examples[i] for i in ids], ids)
-    model = ToxicityModel(index, {0: size[0] / n0, 1: size[1] / n1}, k=k)
-    votes, ys, empty = [], [], [1e-9, 1e-9]
-    for at, i in enumerate(ids):
-        near, cosines = index.nearest(index.example(at), k, without=at)
-        if len(near):
-            votes.append(model.vote(near, cosines))
-            ys.append(examples[i])
-        else:
-            empty[examples[i]] += model.prior[examples[i]]
-    model.none = (empty[1] + size[1] / (size[0] + size[1])) / (sum(empty) + 1)
-    y = np.array(ys, float)
-    model.knots = isotonic(np.round(votes, 9), y, np.where(y > 0, model.prior[1], model.prior[0])) if votes else (np.array([0.0]), np.array([model.none]))
+    index = BlockMaxIndex.build(coded.dictionary.cast("large_string"), cell // n_words, cell % n_words, counts, [examples[i] for i in ids], ids)
+    model = ToxicityModel(index, (size[0] / n0, size[1] / n1), k=k)
+    votes = model.votes(len(ids), *index.search(index.examples, k, np.arange(len(ids))))
+    weight, near = np.array(model.prior)[index.labels], ~np.isnan(votes)
+    empty = np.bincount(index.labels[~near], weight[~near], 2) + 1e-9
+    model.none = float((empty[1] + size[1] / (size[0] + size[1])) / (empty.sum() + 1))
+    model.knots = isotonic(np.round(votes[near], 9), index.labels[near].astype(float), weight[near]) if near.any() else (np.array([0.0]), np.array([model.none]))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, cut: float = CUT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted, evidence, cosines) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of examples
-
-    def make():
-        m = shared.value
+    # bounded by the number of examples, whose own vectors served to fit
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, index=model.index and replace(model.index, examples=None)))
 
-        def fn(cols):
-            got = [m.score(t) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "score": [s for s, *_ in got], "predicted": [int(s >= cut) for s, *_ in got], "evidence": [e for _, e, _ in got], "cosines": [c for *_, c in got]}
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return fn
+        model = shared.value
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(1)):
+                scores, evidence, cosines = model.score(batch.column(1)[lo:hi])
+                columns = [batch.column(0)[lo:hi], pa.array(scores), pa.array((scores >= cut).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "evidence", "cosines"])
 
-    return map_arrow(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), make, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
+    some = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    return some.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
 
 
 def op4_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
