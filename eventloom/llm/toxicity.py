@@ -6,7 +6,12 @@ Those of common words are cut into blocks of examples with the largest weight of
 visits its best blocks first and then every block whose bound, by these and by the sums so far, reaches its k-th best
 cosine, so the neighbours are exact.  Texts are scored some at a time, and a block's postings of common words, which are
 nearly full, are multiplied as a matrix.  Votes of the neighbours, weighted by distance, are calibrated on the examples
-themselves, each left out of its own vote.
+examples themselves, each left out of its own vote.
+
+On request (least_g2; the query asks for it) what tells the labels apart weighs more, so that a few insults in a long text
+decide on its neighbours: the weight of a word that label 1 has significantly more often is multiplied by the root of its
+G2, and the beginnings of words, STEMS letters long, that tell as much are added as words of their own, since inflected
+insults may share no whole word.  No word is left out for that.
 
 Cases: a null or empty text, or one without an indexed word, has no neighbours and gets the calibrated share of label 1
 among examples of that kind.  Ties go to the example with the smaller number.  Very long texts are whole.  Repeated rows
@@ -41,6 +46,9 @@ FIRST_BLOCKS = 8
 TEXTS = 128
 POSTINGS = 2_000_000
 BATCH_BYTES = 4_000_000
+#: Lengths of beginnings of words, and the G2 from which a word or beginning tells the labels apart.
+STEMS = (4, 5, 6)
+LEAST_G2 = 30.0
 
 
 def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
@@ -74,6 +82,29 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), np.repeat(np.arange(len(n)), n)
 
 
+def stems_of(words, length: int):
+    """The beginnings of an Arrow array of words, with a mark that no word has; null for words that are not longer."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = lambda x: pa.scalar(x, words.type)
+    begin = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, length), text("-"), text(""))
+    return pc.if_else(pc.greater(pc.utf8_length(words), length), begin, text(None))
+
+
+def g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G2 of words that a of n1 examples of label 1 and b of n0 others have; 0 for those that label 1 has less often."""
+    row, n = a + b, n1 + n0
+    part = lambda o, r, c: np.where(o > 0, o * np.log(np.maximum(o, 1) * n / np.maximum(r * c, 1)), 0)
+    return np.where(a * n0 > b * n1, 2 * (part(a, row, n1) + part(b, row, n0) + part(n1 - a, n - row, n1) + part(n0 - b, n - row, n0)), 0)
+
+
+def merged(row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) with one entry for each row and term, by both; terms are less than n."""
+    cell, at = np.unique(row * n + term, return_inverse=True)
+    return cell // n, cell % n, np.bincount(at, count, len(cell))
+
+
 @dataclass
 class Vectors:
     """Indexed words of some texts and their weights, by the norms of the whole texts; those of text i from indptr[i]."""
@@ -106,13 +137,20 @@ class BlockMaxIndex:
     column: np.ndarray  # by word: its column of full, or -1
     full: np.ndarray
     tops: np.ndarray
+    stems: object = None  # an Arrow array of beginnings of words; the last of words
 
     @classmethod
-    def build(cls, words, example: np.ndarray, word: np.ndarray, count: np.ndarray, labels, doc_ids) -> BlockMaxIndex:
+    def build(cls, words, example: np.ndarray, word: np.ndarray, count: np.ndarray, labels, doc_ids, least_g2: float | None = None) -> BlockMaxIndex:
         """example, word, count: the examples' numbers, their words' numbers and how often they have them."""
-        n = len(labels)
+        n, label, stems = len(labels), np.array(labels, int), None
+        telling = lambda row, term, size: g2(*(np.bincount(term[label[row] == y], minlength=size) for y in (1, 0)), int(label.sum()), int(n - label.sum()))
+        if least_g2 is not None:
+            words, stems, example, word, count = cls.with_stems(words, example, word, count, telling, least_g2)
         df = np.bincount(word, minlength=len(words))
         idf = np.log((n + 1) / (df + 1)) + 1
+        if least_g2 is not None:
+            told = telling(example, word, len(words))
+            idf *= np.where(told >= least_g2, np.sqrt(np.maximum(told, 1)), 1)
         by = np.lexsort((word, example))
         example, word = example[by], word[by]
         raw = (1 + np.log(count[by])) * idf[word]
@@ -127,15 +165,42 @@ class BlockMaxIndex:
         by = np.lexsort((example, word))
         by = by[~here[by]]
         starts = np.concatenate([[0], np.cumsum(np.where(is_common, 0, df))])
-        return cls(words, idf, math.log(n + 1) + 1, np.array(labels, int), np.array(doc_ids, np.int64), Vectors(indptr, word, values), starts, example[by].astype(np.int32), values[by], column, full, tops)
+        return cls(words, idf, math.log(n + 1) + 1, np.array(labels, int), np.array(doc_ids, np.int64), Vectors(indptr, word, values), starts, example[by].astype(np.int32), values[by], column, full, tops, stems)
+
+    @staticmethod
+    def with_stems(words, example: np.ndarray, word: np.ndarray, count: np.ndarray, telling, least: float):
+        """The words with the beginnings that tell the labels apart, these beginnings, and (example, word, count) of both."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found, parts, size = [], [(example, word, count)], len(words)
+        for length in STEMS:
+            coded = pc.drop_null(stems_of(words, length)).dictionary_encode()
+            number = pc.fill_null(pc.index_in(stems_of(words, length), value_set=coded.dictionary), -1).to_numpy().astype(np.int64)[word]
+            has, n = number >= 0, max(len(coded.dictionary), 1)
+            row, stem, times = merged(example[has], number[has], count[has], n)
+            good = telling(row, stem, n) >= least
+            place = np.cumsum(good) - 1 + size
+            keep = good[stem]
+            parts.append((row[keep], place[stem[keep]], times[keep]))
+            found.append(coded.dictionary.take(pa.array(np.flatnonzero(good[: len(coded.dictionary)]))))
+            size += int(good.sum())
+        stems = pa.concat_arrays(found)
+        return pa.concat_arrays([words, stems]), stems, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def vectors(self, texts) -> Vectors:
         """Those of an Arrow array of texts."""
         import pyarrow.compute as pc
 
         row, word, count, words = words_of(texts)
-        number = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
-        term = number[word]
+        place = lambda w: pc.fill_null(pc.index_in(w, value_set=self.words), -1).to_numpy().astype(np.int64)[word]
+        term = place(words)
+        if self.stems is not None and len(self.stems) and len(words):
+            some = [(row[at >= 0], at[at >= 0], count[at >= 0]) for at in (place(stems_of(words, length)) for length in STEMS)]
+            extra = merged(*(np.concatenate(x) for x in zip(*some, strict=True)), len(self.words))
+            row, term, count = (np.concatenate(x) for x in zip((row, term, count), extra, strict=True))
+            by = np.argsort(row, kind="stable")
+            row, term, count = row[by], term[by], count[by]
         seen = term >= 0
         raw = 1 + np.log(count)
         raw *= np.where(seen, self.idf[term] if len(self.idf) else 0, self.unseen)
@@ -257,8 +322,8 @@ def byte_slices(texts, most_rows: int = 4 * TEXTS, most_bytes: int = BATCH_BYTES
         lo = hi
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
-    """Indexes the sampled examples by all their words."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, text: str = "text", doc_id: str = "doc_id", least_g2: float | None = None) -> ToxicityModel:
+    """Indexes the sampled examples by all their words; least_g2: from which G2 on a word weighs more."""
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     size = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -291,7 +356,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
     # rows of one doc_id are one example
     cell, at = np.unique(example * n_words + coded.indices.to_numpy(), return_inverse=True)
     counts = np.bincount(at, got["n"].combine_chunks().flatten().to_numpy().astype(float), len(cell))
-    index = BlockMaxIndex.build(coded.dictionary.cast("large_string"), cell // n_words, cell % n_words, counts, [examples[i] for i in ids], ids)
+    index = BlockMaxIndex.build(coded.dictionary.cast("large_string"), cell // n_words, cell % n_words, counts, [examples[i] for i in ids], ids, least_g2)
     model = ToxicityModel(index, (size[0] / n0, size[1] / n1), k=k)
     votes = model.votes(len(ids), *index.search(index.examples, k, np.arange(len(ids))))
     weight, near = np.array(model.prior)[index.labels], ~np.isnan(votes)
@@ -323,5 +388,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, cut: float = CUT, text
 def op4_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = crc_fold(F.col("doc_id"), 3)
-    model = fit_toxicity(docs, labels.where(fold != 1))
+    model = fit_toxicity(docs, labels.where(fold != 1), least_g2=LEAST_G2)
     return score_toxicity(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted", "evidence", "cosines")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import difflib
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -490,3 +491,24 @@ def test_toxicity_compares_whole_texts(spark):
     square = idf(1) ** 2 + 2 * idf(200) ** 2 + idf(199) ** 2
     assert got[501].evidence[0] == 8 and abs(got[501].cosines[0] - math.sqrt(square / (square + idf(0) ** 2))) < 1e-6
     assert got[502].evidence == []
+
+
+def test_a_few_insults_in_a_long_text_are_found(spark, tmp_path):
+    """Inflected insults, no whole word of which occurs twice, decide on the score of unseen long texts."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    insult = lambda: "vequ" + "".join(rng.choice("bcdfgk") for _ in range(6))
+    rows, truth = [], []
+    for i in range(900):
+        toxic = int(i % 6 == 0)
+        words = rng.choices(plain, k=300)
+        for _ in range(3 * toxic):
+            words[rng.randrange(300)] = insult()
+        rows.append((i, " ".join(words)))
+        truth.append((i, toxic))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(truth, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r for r in queries.QUERIES["op4_nearest_toxicity"](spark, str(tmp_path)).collect() if r.held_out]
+    caught = [r.predicted for r in got if truth[r.doc_id][1]]
+    wrong = [r.predicted for r in got if not truth[r.doc_id][1]]
+    assert len(caught) > 30 and sum(caught) >= 0.95 * len(caught) and sum(wrong) <= 0.02 * len(wrong)
