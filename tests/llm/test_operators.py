@@ -512,3 +512,23 @@ def test_a_few_insults_in_a_long_text_are_found(spark, tmp_path):
     caught = [r.predicted for r in got if truth[r.doc_id][1]]
     wrong = [r.predicted for r in got if not truth[r.doc_id][1]]
     assert len(caught) > 30 and sum(caught) >= 0.95 * len(caught) and sum(wrong) <= 0.02 * len(wrong)
+
+
+def test_lines_that_share_a_very_common_key_alone(spark):
+    """Pairs of a large key are all found, also where they are like no centre of it."""
+    from eventloom.llm.common import Scratch
+    from eventloom.llm.groups import linked
+    from eventloom.llm.line_dedup import FEW_LINES, verifier
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    lines = []
+    for k in range(40):
+        line = [word() for _ in range(8)]
+        lines += [(2 * k, " ".join(line)), (2 * k + 1, " ".join([*line[:7], word()]))]
+    table = spark.createDataFrame(lines, "h1 long, t string")
+    sizes = table.select(F.col("h1").alias("node"), F.struct(F.length("t").alias("size"), F.lit(None).cast("long").alias("sim")).alias("size"))
+    with Scratch(spark) as scratch:
+        found = linked(table.select(F.lit(1).cast("long").alias("key"), F.col("h1").alias("node")), sizes, *verifier(table, 0.8), scratch, FEW_LINES)
+        of = {r.node: r.label for r in found.collect()}
+    assert len(of) == 80 and all(of[2 * k] == of[2 * k + 1] for k in range(40)) and len(set(of.values())) == 40
