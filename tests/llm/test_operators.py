@@ -532,3 +532,22 @@ def test_lines_that_share_a_very_common_key_alone(spark):
         found = linked(table.select(F.lit(1).cast("long").alias("key"), F.col("h1").alias("node")), sizes, *verifier(table, 0.8), scratch, FEW_LINES)
         of = {r.node: r.label for r in found.collect()}
     assert len(of) == 80 and all(of[2 * k] == of[2 * k + 1] for k in range(40)) and len(set(of.values())) == 40
+
+
+def test_edit_similarity_of_lines_is_exact(spark):
+    """Short ways to a decision agree with the distance itself, for close, middling and unlike texts."""
+    from eventloom.llm.line_dedup import near
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaonhrdlé") for _ in range(rng.randint(1, 9)))
+    rows = []
+    for _ in range(300):
+        line = [word() for _ in range(rng.choice([1, 4, 12, 50, 150]))]
+        other = list(line)
+        for _ in range(int(len(line) * rng.choice([0, 0.1, 0.2, 0.25, 0.3, 1])) + rng.randint(0, 1)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        rows.append((" ".join(line), " ".join(other)))
+    pairs = spark.createDataFrame(rows, "ta string, tb string")
+    want = sorted(map(tuple, pairs.where(F.levenshtein("ta", "tb") <= F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - 0.8) + 1e-9)).collect()))
+    assert 50 < len(want) < 280 and sorted(map(tuple, near(pairs, 0.8).collect())) == want
