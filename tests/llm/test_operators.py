@@ -551,3 +551,29 @@ def test_edit_similarity_of_lines_is_exact(spark):
     pairs = spark.createDataFrame(rows, "ta string, tb string")
     want = sorted(map(tuple, pairs.where(F.levenshtein("ta", "tb") <= F.floor(F.greatest(F.length("ta"), F.length("tb")) * (1 - 0.8) + 1e-9)).collect()))
     assert 50 < len(want) < 280 and sorted(map(tuple, near(pairs, 0.8).collect())) == want
+
+
+def test_pairs_of_a_large_key_grow_with_its_lines(spark):
+    """Lines around a common passage: similar ones are linked, without all pairs of the unlike ones."""
+    from eventloom.llm.common import Scratch
+    from eventloom.llm.groups import linked
+    from eventloom.llm.line_dedup import FEW_LINES, verifier
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    passage, lines = [word() for _ in range(10)], []
+    for k in range(800):
+        line = [*(word() for _ in range(15)), *passage, *(word() for _ in range(15))]
+        other = list(line)
+        other[3], other[33] = word(), word()
+        lines += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    table = spark.createDataFrame(lines, "h1 long, t string")
+    sizes = table.select(F.col("h1").alias("node"), F.struct(F.length("t").alias("size"), F.lit(0).cast("long").alias("sim")).alias("size"))
+    keyed = table.select(F.lit(1).cast("long").alias("key"), F.col("h1").alias("node"))
+    with Scratch(spark) as scratch:
+        of = {r.node: r.label for r in linked(keyed, sizes, *verifier(table, 0.8), scratch, FEW_LINES).collect()}
+        assert len(of) == 1600 and all(of[2 * k] == of[2 * k + 1] for k in range(800)) and len(set(of.values())) == 800
+        _, _, prepare, rest = verifier(table, 0.8)
+        test = prepare(sizes.select("node"), scratch)
+        pairs = rest(keyed.join(sizes, "node").select("key", "node", "size", F.col("node").alias("label")), test, scratch)
+        assert 800 <= pairs.count() <= 100 * 1600  # all pairs: 1,279,200
