@@ -40,8 +40,10 @@ _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _SPACES = "".join(rf"\x{{{c:x}}}" for c in _WHITE)
 WHITE = "".join(map(chr, _WHITE))
 MARK = "\x1e"
+#: Stands ahead of tokens that no merge is left for.  It is no token.
+DONE = "\x00"
 LONG = 256
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 BLOCK_BYTES = 1_000_000
 MOST_PIECES = 250_000
 
@@ -83,15 +85,30 @@ def look_up(literal: Column, key: Column) -> Column:
     return F.get(literal, F.xxhash64(key).bitwiseAND(BUCKETS - 1).cast("int"))[key]
 
 
+def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two parts that merges leave of a piece just before they make it whole; none where they never do."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        if not found:
+            return None
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 and parts[0] in ranks and parts[1] in ranks else None
+
+
+def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[bytes, bytes], bytes]:
+    """Each token by the pair that merges to it.
+
+    Of the pairs whose bytes together are a token, only one can ever stand side by side: as no merge has crossed the token's
+    ends, those within have come in the order in which they come in the token alone.
+    """
+    return {pair: piece for piece in ranks if len(piece) > 1 and (pair := last_merge(piece, ranks)) is not None}
+
+
 def merge_map(ranks: dict[bytes, int]) -> Column:
-    """The token that a pair of tokens makes, for each pair whose bytes together are a token."""
-    pairs = {}
-    for piece, rank in ranks.items():
-        for i in range(1, len(piece)):
-            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-            if a is not None and b is not None:
-                pairs[token(a) + token(b)] = token(rank)
-    return hashed(pairs, "string")
+    """The token that a pair of tokens makes, for each pair that merges."""
+    return hashed({token(ranks[a]) + token(ranks[b]): token(ranks[piece]) for (a, b), piece in merge_pairs(ranks).items()}, "string")
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -108,11 +125,11 @@ def fold_merges(piece: Column, single: str, merges: Column, whole: Column) -> Co
     def step(tokens: Column, _: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: F.substring(tokens, i, F.lit(2)))
         made = F.transform(pairs, lambda p: look_up(merges, p))
-        merged = bind(made, lambda m: F.coalesce(F.overlay(tokens, F.array_min(m), F.array_position(m, F.array_min(m)).cast("int"), F.lit(2)), tokens))
-        return F.when(F.length(tokens) < 2, tokens).otherwise(merged)
+        put = lambda m: bind(F.array_min(m), lambda x: F.when(x.isNull(), F.concat(F.lit(DONE), tokens)).otherwise(F.overlay(tokens, x, F.array_position(m, x).cast("int"), F.lit(2))))
+        return F.when((F.length(tokens) < 2) | F.startswith(tokens, F.lit(DONE)), tokens).otherwise(bind(made, put))
 
     start = F.translate(piece, "".join(map(chr, range(256))), single)
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), start, step)
+    folded = F.ltrim(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(piece) - 1, F.lit(1))), start, step), F.lit(DONE))
     return bind(look_up(whole, piece), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.transform(F.split(folded, ""), rank_of)))
 
 
@@ -156,9 +173,9 @@ def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def number_pieces(texts, find: Callable[[str], list[str]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def number_pieces(texts, find: Callable[[str], list[str]], number: dict[str, int], known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of an Arrow array of strings' pieces, text by text, and the texts' offsets in them; new pieces are
-    numbered on.
+    numbered on, and known keeps the numbers of a part's pieces.
 
     Texts are cut before each run of other characters and the one white space character ahead of it.  No piece of the
     pattern spans such a cut, so the pattern is applied to the distinct parts alone.  Texts that hold the mark
@@ -173,7 +190,9 @@ def number_pieces(texts, find: Callable[[str], list[str]], number: dict[str, int
     coded = parts.flatten().dictionary_encode()
     flat, ends = [], [0]
     for part in coded.dictionary.to_pylist():
-        flat += [number.setdefault(w, len(number)) for w in find(part)]
+        if (numbers := known.get(part)) is None:
+            numbers = known[part] = [number.setdefault(w, len(number)) for w in find(part)]
+        flat += numbers
         ends.append(len(flat))
     at, offsets = gather(np.array(flat, np.int32), np.array(ends), coded.indices.to_numpy())
     offsets = offsets[parts.offsets.to_numpy()]
@@ -196,7 +215,7 @@ def blocks_of(docs: DataFrame, pattern: str, block_bytes: int, most_pieces: int)
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        find, number = splitter(pattern), {}
+        find, number, known = splitter(pattern), {}, {}
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
@@ -204,9 +223,9 @@ def blocks_of(docs: DataFrame, pattern: str, block_bytes: int, most_pieces: int)
             cuts = [0, *(np.flatnonzero(np.diff(grown // block_bytes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if len(number) >= most_pieces:
-                    number = {}
+                    number, known = {}, {}
                 first = len(number)
-                at, offsets = number_pieces(texts[lo:hi], find, number)
+                at, offsets = number_pieces(texts[lo:hi], find, number, known)
                 pieces = list(islice(reversed(number), len(number) - first))[::-1]
                 is_long = [len(w) > LONG // 4 and len(w.encode()) > LONG for w in pieces]
                 long = pa.array([w for w, x in zip(pieces, is_long, strict=True) if x], pa.string())
@@ -235,6 +254,7 @@ def encode(docs: DataFrame, make_row: Callable, schema: str, vocabulary: str | N
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         ids, raw = [], []  # by piece: ids in decimal, and bytes
         for batch in batches:
@@ -243,7 +263,9 @@ def encode(docs: DataFrame, make_row: Callable, schema: str, vocabulary: str | N
                     ids, raw = [], []
                 doc_ids, is_long, long, use, new, new_raw = (c[block].values for c in batch.columns[1:])
                 at = len(ids)
-                ids += [" ".join(map(str, x)) for x in new.to_pylist()]
+                start = new.offsets.to_numpy()
+                decimals = pa.ListArray.from_arrays(pa.array(start - start[0]), pc.cast(new.flatten(), pa.string()))
+                ids += pc.binary_join(decimals, " ").to_pylist()
                 raw += new_raw.to_pylist()
                 for i, w in zip(np.flatnonzero(is_long.to_numpy(zero_copy_only=False)), long.to_pylist(), strict=True):
                     found, by_id = fold_long(w.encode(), read_ranks(path)), tokens_by_id(path)

@@ -577,3 +577,27 @@ def test_pairs_of_a_large_key_grow_with_its_lines(spark):
         test = prepare(sizes.select("node"), scratch)
         pairs = rest(keyed.join(sizes, "node").select("key", "node", "size", F.col("node").alias("label")), test, scratch)
         assert 800 <= pairs.count() <= 100 * 1600  # all pairs: 1,279,200
+
+
+def test_one_pair_merges_to_each_token():
+    """Merges of the pairs of merge_pairs alone give the ids of merges of all pairs that are tokens, with odd vocabularies too."""
+    from eventloom.llm.bpe import merge_pairs
+
+    def merged(text, rank):
+        parts = [text[i : i + 1] for i in range(len(text))]
+        while found := [(r, i) for i in range(len(parts) - 1) if (r := rank(parts[i], parts[i + 1])) is not None]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    rng = random.Random(7)
+    some = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    for _ in range(40):
+        longer = sorted({some(rng.randint(2, 6)) for _ in range(rng.randint(5, 60))})
+        rng.shuffle(longer)
+        ranks = {t: r for r, t in enumerate([b"a", b"b", b"c", *longer])}
+        pairs = merge_pairs(ranks)
+        assert len(set(pairs.values())) == len(pairs) <= len(longer)
+        for _ in range(40):
+            text = some(rng.randint(1, 20))
+            assert merged(text, lambda a, b, r=ranks: r.get(a + b)) == merged(text, lambda a, b, p=pairs, r=ranks: r.get(p.get((a, b))))
